@@ -7,7 +7,8 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 _shipped: set[str] = set()
@@ -58,3 +59,27 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def plan_bytes(df: DataFrame) -> int:
+    """Catalyst's estimate of a table's bytes, without reading it."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def range_of(column: str, bounds: list[int]) -> Column:
+    """The number of bounds below a value, as a binary search of nested conditions; null is 0."""
+
+    def tree(lo: int, hi: int):
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(F.col(column) > bounds[mid], tree(mid + 1, hi)).otherwise(tree(lo, mid))
+
+    return tree(0, len(bounds))
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Where a public tokenizer's file lies on this machine."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))

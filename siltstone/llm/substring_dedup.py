@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel
-from .shared import ship, shared_path, written
+from .shared import plan_bytes, ship, shared_path, written
 
 WINDOW = 13
 KEY_BITS, CHECK_BITS = 56, 16
@@ -261,52 +261,42 @@ def _compacted(table: pa.Table) -> pa.Table:
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of window fingerprints in bucketed tables of the shared folder."""
+    """Sorted immutable runs of window fingerprints, appended to one bucketed table of the shared folder."""
 
     def __init__(self, spark: SparkSession, files: int, window: int = WINDOW, key_bits: int = KEY_BITS, fanout: int = 8):
         self.spark, self.files, self.window, self.key_bits, self.fanout = spark, max(1, files), window, key_bits, fanout
-        self.runs: list[str] = []
+        self.table, self.run, self.n_runs = self._new_table(), 0, 0
 
-    @property
-    def buckets(self) -> int:
-        return self.files * BUCKETS_PER_FILE
+    def _new_table(self) -> str:
+        return f"fingerprints_{uuid.uuid4().hex[:12]}"
 
-    def _write(self, rows: DataFrame) -> str:
-        name = f"fingerprints_{uuid.uuid4().hex[:12]}"
-        path = shared_path(self.spark, name)
-        rows.write.bucketBy(self.files, "bucket").option("path", path).option("compression", "none").saveAsTable(name)
-        return name
+    def _append(self, rows: DataFrame) -> None:
+        # runs of one table share its buckets, so a bucket's rows of all runs are read by one task without a shuffle
+        path = shared_path(self.spark, self.table) if not self.n_runs else None
+        writer = rows.withColumn("run", F.lit(self.run)).write.mode("append").bucketBy(self.files, "bucket").option("compression", "none")
+        (writer.option("path", path) if path else writer).saveAsTable(self.table)
+        self.n_runs += 1
 
     def add(self, docs: DataFrame, with_text: bool = False) -> DataFrame:
         """Deduplicates a batch against itself and all runs, and makes it a run.  Its doc_ids must exceed those of earlier batches."""
         known = docs.select("doc_id", F.xxhash64("text").alias("row_key"), "text")
-        rows = known.where("doc_id is not null").mapInArrow(_fingerprints(self.window, self.buckets, self.key_bits), _RUN)
-        history = list(self.runs)
-        self.runs.append(self._write(rows))
-        merged = self.spark.table(self.runs[-1]).withColumn("fresh", F.lit(True))
-        for name in history:
-            merged = merged.unionByName(self.spark.table(name).withColumn("fresh", F.lit(False)))
+        self.run += 1
+        self._append(known.where("doc_id is not null").mapInArrow(_fingerprints(self.window, self.files * BUCKETS_PER_FILE, self.key_bits), _RUN))
+        merged = self.spark.table(self.table).select("bucket", "payload", (F.col("run") == self.run).alias("fresh"))
         found = merged.groupBy("bucket").applyInArrow(_merge(TARGETS), _FOUND)
         marks = found.groupBy("target").applyInArrow(_gather, _SPANS)
         schema = RESULT + (", kept_text string" if with_text else "")
-        out = known.join(marks, ["doc_id", "row_key"], "left").select("doc_id", "text", "starts").mapInArrow(_kept(self.window, with_text), schema)
-        return out
+        return known.join(marks, ["doc_id", "row_key"], "left").select("doc_id", "text", "starts").mapInArrow(_kept(self.window, with_text), schema)
 
     def compact(self) -> None:
         """Merges all runs into one once there are more than ``fanout``."""
-        if len(self.runs) <= self.fanout:
+        if self.n_runs <= self.fanout:
             return
-        merged = self.spark.table(self.runs[0])
-        for name in self.runs[1:]:
-            merged = merged.unionByName(self.spark.table(name))
-        old, self.runs = self.runs, [self._write(merged.groupBy("bucket").applyInArrow(_compacted, _RUN))]
-        for name in old:
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-
-
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of a table's bytes, without reading it."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        old = self.table
+        rows = self.spark.table(old).groupBy("bucket").applyInArrow(_compacted, _RUN)
+        self.table, self.n_runs = self._new_table(), 0
+        self._append(rows)
+        self.spark.sql(f"DROP TABLE {old}")
 
 
 def deduplicate(docs: DataFrame, batches: int = 2, window: int = WINDOW, key_bits: int = KEY_BITS, fanout: int = 8, with_text: bool = False) -> DataFrame:
