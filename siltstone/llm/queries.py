@@ -6,18 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import substring_dedup
-from .shared import documents
+from . import near_dup, substring_dedup, token_store
+from .shared import documents, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.TokenStore.write(documents(spark, sf_dir), tokenizer_path()).documents()
+
+
+def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(documents(spark, sf_dir))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.deduplicate(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op10_substring_dedup,)}
+    return {f.__name__: f for f in (op1_token_store, op6_near_dup, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
