@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dup, substring_dedup, token_store
+from . import decontamination, language_id, mixing, near_dup, quality_fm, quality_rules, sharding, substring_dedup, token_store, toxicity
 from .shared import documents, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,16 +16,45 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.TokenStore.write(documents(spark, sf_dir), tokenizer_path()).documents()
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(documents(spark, sf_dir))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
+
+
 def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(documents(spark, sf_dir))
 
 
+def op7_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_fm.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(documents(spark, sf_dir))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.deduplicate(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_store, op6_near_dup, op10_substring_dedup)}
+    all_of = (op1_token_store, op2_sharding, op3_quality_rules, op4_decontamination, op5_mixing, op6_near_dup, op7_quality_fm, op8_toxicity, op9_language_id, op10_substring_dedup)
+    return {f.__name__: f for f in all_of}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -83,3 +83,17 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
     return str(public_tokenizers.path(name))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, most_chars: int, *also: str) -> list:
+    """About ``most`` labelled documents (doc_id, text, label), chosen by a hash of doc_id and in its order.
+
+    The labels are thinned first, so what is sent to the join and to the driver is bounded by ``most``.
+    """
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).alias("label"))
+    scale = 1 << 30
+    keep = F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < int(scale * min(1.0, most / max(1, known.count())))
+    chosen = known.where(keep).groupBy("doc_id").agg(F.max("label").alias("label"))
+    texts = docs.where(keep & F.col("text").isNotNull() & (F.length("text") <= most_chars)).select("doc_id", "text", *also)
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", *also, "label", F.xxhash64("doc_id").alias("at")).collect()
+    return sorted(rows, key=lambda r: (r["at"], r["doc_id"], r["text"]))
