@@ -50,17 +50,19 @@ MEASURES = {
 
 _SEPARATORS = r"[\\x20\\x09-\\x0D]+"
 
-# The windows' hashes are bound to a name by transform over a one-element array, so they are made once.
+# Words are taken one by one: a slice would copy the whole array for each window.  transform over an array of one
+# element binds its value to a name, so that it is made once, wherever the optimizer moves the expression.
+_HASHES = f"transform(sequence(0, size(w) - {WINDOW}), i -> xxhash64({', '.join(f'get(w, i + {k})' for k in range(WINDOW))}))"
 _REPEATED = f"""
-CASE WHEN n_words <= {WINDOW} THEN 0L ELSE transform(
-  array(transform(sequence(1, cast(n_words as int) - {WINDOW - 1}), i -> xxhash64(slice(words, i, {WINDOW})))),
+transform(array(words), w -> CASE WHEN size(w) <= {WINDOW} THEN 0L ELSE transform(
+  array({_HASHES}),
   h -> CASE WHEN size(array_distinct(h)) = size(h) THEN 0L ELSE transform(
     array(array_sort(transform(h, (x, i) -> struct(x, i)))),
     s -> transform(
       array(array_sort(filter(transform(s, (e, k) -> CASE WHEN get(s, k - 1).x = e.x OR get(s, k + 1).x = e.x THEN e.i END), p -> p IS NOT NULL))),
       p -> aggregate(transform(p, (v, k) -> least({WINDOW}, coalesce(get(p, k + 1) - v, {WINDOW}))), 0L, (a, n) -> a + n)
     )[0])[0] END
-)[0] END
+)[0] END)[0]
 """
 
 
@@ -120,8 +122,10 @@ def learn(docs: DataFrame, labels: DataFrame) -> list[Rule]:
     texts = docs.where(keep & (F.length("text") <= TRAIN_CHARS)).join(F.broadcast(chosen), "doc_id")
     # so few rows would be one task's work
     spread = texts.select("doc_id", "text", "quality").repartition(texts.sparkSession.sparkContext.defaultParallelism, "doc_id")
-    measured = statistics(spread, "quality").where(~base_failed()).select("doc_id", "quality", *(F.expr(e).cast("double").alias(m) for m, e in MEASURES.items())).cache()
+    # cached before it is filtered: a filter would be pushed down with the whole of what it tests inside it
+    cached = statistics(spread, "quality").cache()
     try:
+        measured = cached.where(~base_failed()).select("doc_id", "quality", *(F.expr(e).cast("double").alias(m) for m, e in MEASURES.items()))
         row = measured.agg(*(F.percentile_approx(m, list(QUANTILES), 10_000).alias(m) for m in MEASURES)).first()
         marks = {m: _between(sorted(set(row[m] or []))) for m in MEASURES}
         bins = [sum((F.when(F.col(m) > F.lit(t), 1).otherwise(0) for t in ts), F.lit(0)).alias(m) for m, ts in marks.items()]
@@ -129,7 +133,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> list[Rule]:
         good = F.col("quality") > 0
         cells = measured.groupBy(*bins).agg(F.count_if(half & ~good).alias("grow_bad"), F.count_if(half & good).alias("grow_good"), F.count_if(~half & ~good).alias("prune_bad"), F.count_if(~half & good).alias("prune_good")).collect()
     finally:
-        measured.unpersist()
+        cached.unpersist()
     return cover([(tuple(r[m] for m in MEASURES), tuple(r[len(MEASURES) :])) for r in cells], [(m, marks[m]) for m in MEASURES])
 
 
