@@ -5,22 +5,24 @@ scripts become Latin letters, lower case; digits and signs inside a word that
 stand for letters become them ("1d10t"); signs around a word go.
 
 The lexicon has stems (a word that begins so) with weights.  It starts from a
-short fixed list and is learned from labelled text: stems that occur in far
-more toxic than clean documents, weighted by their log odds, greedily chosen so
-that each next stem adds toxic documents that the earlier ones miss.  Phrases
-(a match and a neighbour) that occur in clean documents become exceptions, as
-are a few fixed ones; a match inside an exception phrase doesn't count.
+short fixed list and is learned from labelled text: stems whose documents are
+toxic far more often than others (a likelihood ratio of at least ``LEAST_RATIO``
+in nats), greedily chosen so that each next stem adds toxic documents that the
+earlier ones miss.  A logistic regression on the stems' counts, normalised by
+the text's length, gives the weights, which are never negative; its
+probability is the score, shifted so that THRESHOLD separates the training
+texts best.  Phrases (a match and a neighbour) that occur in clean documents
+alone become exceptions, as are a few fixed ones; a match inside an exception
+phrase doesn't count.
 
 One Aho-Corasick automaton holds the stems, another the exceptions.  The first
 runs over each distinct word of a batch once, the second over the words around
-each match.  A text's score is 1 - 0.3 ** (x / t): x is the sum of its matches'
-weights over a slowly growing function of its length, and t, where the score is
-0.7, separates toxic from clean documents of the training fold best.
+each match.
 
 Training is bounded: about ``TRAIN_DOCS`` labelled documents of at most
 ``TRAIN_CHARS`` characters, by a hash of doc_id, outside the held-out fold.
 
-Defined cases: null and empty texts score 0; without labels only the fixed list
+Defined cases: null and empty texts score as texts without a match; without labels only the fixed list
 counts; a null doc_id is not held out and is not learned from; of contradictory
 labels the larger holds; repeated rows are scored each; extra columns are
 ignored.
@@ -46,14 +48,15 @@ FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
 TRAIN_DOCS, TRAIN_CHARS = 6_000, 50_000
 STEM_FROM, STEM_TO = 4, 10
-LEAST_DOCS, LEAST_ODDS, MOST_STEMS = 3, 4.0, 400
+LEAST_ODDS, LEAST_RATIO, MOST_STEMS = 1.5, 10.0, 400
+MOST_COUNT, STEPS, RIDGE = 8, 600, 2e-3
 CONTEXT = 2
 
 RESULT = "doc_id long, held_out boolean, score double, predicted int"
 
-# Common English insults and their starting weight in documents.
+# Common English insults; one of them alone makes a text toxic until labels say otherwise.
 SEED_STEMS = ("asshole", "bastard", "bitch", "clown", "cretin", "disgusting", "dumbass", "fool", "idiot", "imbecile", "jerk", "loser", "moron", "pathetic", "scum", "stupid", "trash", "vermin", "worthless")
-SEED_DOCS = 2.0
+SEED_WEIGHT, BIAS = 8.0, -4.0
 # Phrases in which such a word insults nobody.
 SEED_EXCEPTIONS = ("circus clown", "class clown", "clown fish", "fool proof", "graceful loser", "jerk chicken", "trash bag", "trash bin", "trash can")
 # Letters of other scripts that look like Latin ones.
@@ -101,8 +104,8 @@ def _automaton(entries: Iterable[tuple[str, object]]):
 class Lexicon:
     """Weighted stems and exception phrases; picklable, builds its automata on first use."""
 
-    def __init__(self, stems: dict[str, float], exceptions: Iterable[str] = (), level: float = 1.0):
-        self.stems, self.exceptions, self.level = dict(stems), sorted(set(exceptions)), level
+    def __init__(self, stems: dict[str, float], exceptions: Iterable[str] = (), bias: float = BIAS):
+        self.stems, self.exceptions, self.bias = dict(stems), sorted(set(exceptions)), bias
         self._made = None
 
     def __getstate__(self) -> dict:
@@ -111,13 +114,13 @@ class Lexicon:
     @property
     def automata(self):
         if self._made is None:
-            self._made = tuple(_automaton(x) for x in ([(" " + s, w) for s, w in self.stems.items()], [(f" {e} ", e) for e in self.exceptions]))
+            self._made = tuple(_automaton(x) for x in ([(" " + s, s) for s in self.stems], [(f" {e} ", e) for e in self.exceptions]))
         return self._made
 
-    def weight(self, folded: str) -> float:
-        """The largest weight of a stem that the word begins with."""
+    def match(self, folded: str) -> str:
+        """The heaviest stem that the word begins with, or nothing."""
         stems = self.automata[0]
-        return max((w for _, w in stems.iter(" " + folded)), default=0.0) if len(stems) else 0.0
+        return max((s for _, s in stems.iter(" " + folded)), key=lambda s: (self.stems[s], s), default="") if len(stems) else ""
 
     def excused(self, around: list[str], at: int) -> bool:
         """Whether the word at ``at`` stands in an exception phrase."""
@@ -128,32 +131,33 @@ class Lexicon:
         begin = 1 + sum(len(w) + 1 for w in around[:at])
         return any(end - len(p) - 1 < begin + len(around[at]) and end > begin and end - len(p) <= begin for end, p in phrases.iter(text))
 
-    def amounts(self, column: pa.Array) -> list[float]:
-        """x of each text: its matches' weights, normalised by length."""
-        out: list[float] = []
+    def matches(self, column: pa.Array) -> Iterator[tuple[dict[str, int], int]]:
+        """Of each text: how often each stem matches outside exceptions, and the number of words."""
         for lo, hi, data, offsets in kernel.slices(column):
             words, first = whole_words(data, offsets)
-            if not len(words):
-                out += [0.0] * (hi - lo)
-                continue
-            coded = pc.dictionary_encode(words)
-            distinct, place = [fold(w) for w in coded.dictionary.to_pylist()], coded.indices.to_numpy()
-            weight = np.array([self.weight(w) for w in distinct])
-            hits = np.flatnonzero(weight[place] > 0)
-            sums = np.zeros(hi - lo)
-            for h, doc in zip(hits.tolist(), (np.searchsorted(first, hits, "right") - 1).tolist(), strict=True):
-                a, b = max(int(first[doc]), h - CONTEXT), min(int(first[doc + 1]), h + CONTEXT + 1)
-                if not self.excused([distinct[place[k]] for k in range(a, b)], h - a):
-                    sums[doc] += weight[place[h]]
-            out += (sums / length_norm(np.diff(first))).tolist()
+            found: list[dict[str, int]] = [{} for _ in range(hi - lo)]
+            if len(words):
+                coded = pc.dictionary_encode(words)
+                distinct, place = [fold(w) for w in coded.dictionary.to_pylist()], coded.indices.to_numpy()
+                stem = [self.match(w) for w in distinct]
+                hits = np.flatnonzero(np.array([bool(s) for s in stem])[place])
+                for h, doc in zip(hits.tolist(), (np.searchsorted(first, hits, "right") - 1).tolist(), strict=True):
+                    a, b = max(int(first[doc]), h - CONTEXT), min(int(first[doc + 1]), h + CONTEXT + 1)
+                    if not self.excused([distinct[place[k]] for k in range(a, b)], h - a):
+                        s = stem[place[h]]
+                        found[doc][s] = found[doc].get(s, 0) + 1
+            yield from zip(found, np.diff(first).tolist(), strict=True)
+
+    def scores(self, column: pa.Array) -> list[float]:
+        out = []
+        for found, n_words in self.matches(column):
+            margin = self.bias + sum(self.stems[s] * min(c, MOST_COUNT) for s, c in found.items()) / length_norm(n_words)
+            out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, margin)))))
         return out
 
-    def score(self, amounts: Iterable[float]) -> list[float]:
-        return [1.0 - (1.0 - THRESHOLD) ** (x / self.level) for x in amounts]
 
-
-def length_norm(n_words: np.ndarray) -> np.ndarray:
-    return 1.0 + np.log1p(n_words / 200.0)
+def length_norm(n_words: int) -> float:
+    return 1.0 + math.log1p(n_words / 500.0)
 
 
 def whole_words(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
@@ -166,10 +170,13 @@ def whole_words(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.nda
 
 
 def learn(texts: list[str], toxic: list[int]) -> Lexicon:
-    """Stems, exceptions and level from labelled texts."""
+    """Stems, weights and exceptions from labelled texts (each distinct text counts once)."""
+    once = {t: int(x) for t, x in zip(texts, toxic, strict=True)}
+    texts, flag = list(once), np.array(list(once.values()), bool)
+    if not flag.any() or flag.all():
+        return Lexicon(dict.fromkeys(SEED_STEMS, SEED_WEIGHT), SEED_EXCEPTIONS)
     folded: dict[str, str] = {}
     docs = [[folded[w] if w in folded else folded.setdefault(w, fold(w)) for w in t.split()] for t in texts]
-    flag = np.array(toxic, bool)
     n_toxic, n_clean = int(flag.sum()), int((~flag).sum())
     seen: dict[str, list[int]] = {}
     clean: Counter[str] = Counter()
@@ -181,50 +188,66 @@ def learn(texts: list[str], toxic: list[int]) -> Lexicon:
         else:
             clean.update(stems)
 
-    def odds(n: float, s: str) -> float:
-        return math.log((n + 0.1) / (n_toxic + 1.0)) - math.log((clean[s] + 0.1) / (n_clean + 1.0))
+    def evidence(s: str) -> tuple[float, float]:
+        """Log odds of toxic documents, and the likelihood ratio to the base rate."""
+        k, c, base = len(seen[s]), clean[s], n_toxic / (n_toxic + n_clean)
+        p = k / (k + c)
+        ratio = k * math.log(p / base) + (c * math.log((1 - p) / (1 - base)) if c else 0.0)
+        return math.log((k + 0.1) / n_toxic) - math.log((c + 0.1) / n_clean), ratio if p > base else 0.0
 
-    stems: dict[str, float] = {}
-    for s in SEED_STEMS:
-        w = odds(len(seen.get(s, ())) + SEED_DOCS, s)
-        if w > 0:
-            stems[s] = w
+    stems = [s for s in SEED_STEMS if clean[s] <= len(seen.get(s, ()))]
     covered = {i for s in stems for i in seen.get(s, ())}
-    # a stem must be far more common in toxic documents; of equal ones the shortest stands for all
-    strong = {s: set(d) for s, d in seen.items() if len(d) >= LEAST_DOCS and odds(len(d), s) > LEAST_ODDS}
+    known = {s: evidence(s) for s, d in seen.items() if len(d) >= 3}
+    strong = {s: set(seen[s]) for s, (odds, ratio) in known.items() if odds > LEAST_ODDS and ratio > LEAST_RATIO}
     while strong and len(stems) < MOST_STEMS:
-        best = max(strong, key=lambda s: (len(strong[s] - covered), odds(len(seen[s]), s), -len(s), s))
+        # the stem that adds most evidence; of equal ones the shortest stands for all
+        best = max(strong, key=lambda s: (len(strong[s] - covered) * known[s][0], -len(s), s))
         if len(strong[best] - covered) < 2:
             break
-        stems[best] = odds(len(seen[best]), best)
+        stems.append(best)
         covered |= strong.pop(best)
         strong = {s: d for s, d in strong.items() if len(d - covered) >= 2}
 
-    lexicon = Lexicon(stems)
+    column = pa.array(texts, pa.string())
+    lexicon = Lexicon(dict.fromkeys(stems, 1.0))
     around: dict[str, list[int]] = {}
+    matched = {w for w in folded.values() if lexicon.match(w)}
     for i, words in enumerate(docs):
         for k, w in enumerate(words):
-            if lexicon.weight(w):
+            if w in matched:
                 for a, b in ((k - 1, k + 1), (k, k + 2)):
                     if 0 <= a and b <= len(words):
                         around.setdefault(" ".join(words[a:b]), [0, 0])[int(flag[i])] += 1
-    lexicon = Lexicon(stems, [*SEED_EXCEPTIONS, *(p for p, (c, t) in around.items() if c >= 2 and t == 0)])
-    amounts = np.array(lexicon.amounts(pa.array(texts, pa.string())))
-    lexicon.level = _level(amounts, flag)
-    return lexicon
-
-
-def _level(amounts: np.ndarray, flag: np.ndarray) -> float:
-    """The amount that separates toxic from clean texts with the fewest errors (geometric middle of the gap)."""
-    values = np.unique(amounts[amounts > 0])
-    if not len(values) or not flag.any() or flag.all():
-        return 1.0
-    toxic, clean = np.sort(amounts[flag]), np.sort(amounts[~flag])
-    missed = np.searchsorted(toxic, values, "left") / len(toxic)
-    wrong = 1 - np.searchsorted(clean, values, "left") / len(clean)
-    k = int(np.argmin(missed + wrong))
-    below = values[k - 1] if k else values[0] / 4
-    return float(math.sqrt(below * values[k]))
+    lexicon = Lexicon(lexicon.stems, [*SEED_EXCEPTIONS, *(p for p, (c, t) in around.items() if c >= 3 and t == 0)])
+
+    place = {s: j for j, s in enumerate(stems)}
+    x = np.zeros((len(texts), len(stems)))
+    for i, (found, n_words) in enumerate(lexicon.matches(column)):
+        for s, c in found.items():
+            x[i, place[s]] = min(c, MOST_COUNT) / length_norm(n_words)
+    weights, bias = _regression(x, flag.astype(float), np.array([SEED_WEIGHT if s in SEED_STEMS else 1.0 for s in stems]))
+    return Lexicon(dict(zip(stems, weights.tolist(), strict=True)), lexicon.exceptions, bias)
+
+
+def _regression(x: np.ndarray, y: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, float]:
+    """Logistic regression with weights of at least 0, drawn towards ``start``; the bias puts the best cut at THRESHOLD."""
+    w, b = start.copy(), BIAS
+    mw, mb, vw, vb = np.zeros_like(w), 0.0, np.zeros_like(w), 0.0
+    for step in range(1, STEPS + 1):
+        p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
+        gw, gb = x.T @ (p - y) / len(y) + RIDGE * 0.1 * (w - start) / len(start), float((p - y).mean())
+        mw, vw = 0.9 * mw + 0.1 * gw, 0.99 * vw + 0.01 * gw**2
+        mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb**2
+        scale = math.sqrt(1 - 0.99**step) / (1 - 0.9**step)
+        w = np.maximum(0.0, w - 0.1 * scale * mw / (np.sqrt(vw) + 1e-8))
+        b -= 0.1 * scale * mb / (math.sqrt(vb) + 1e-8)
+    margin = x @ w + b
+    values = np.unique(margin)
+    toxic, clean = np.sort(margin[y > 0]), np.sort(margin[y == 0])
+    wrong = np.searchsorted(toxic, values, "left") + len(clean) - np.searchsorted(clean, values, "left")
+    k = int(np.argmin(wrong))
+    cut = (values[k - 1] + values[k]) / 2 if k else values[k]
+    return w, float(b - cut + math.log(THRESHOLD / (1 - THRESHOLD)))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Lexicon:
@@ -241,7 +264,7 @@ def score(docs: DataFrame, labels: DataFrame | None = None, lexicon: Lexicon | N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            scores = known.score(known.amounts(batch.column(2)))
+            scores = known.scores(batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
     return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, RESULT)
