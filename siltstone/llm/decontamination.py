@@ -6,8 +6,10 @@ item's own score, so a passage that holds the whole item scores 1 and one
 threshold serves all items.  Every passage of every document (``PASSAGE``
 words, every ``STRIDE``) is a query of its distinct terms:
 
-1. Passages whose terms' largest impacts add up to less than the threshold
-   can't reach it; they are set aside as arrays.
+1. An item's commonest terms, up to ``SPARE`` of its score, are set aside; to
+   reach the threshold a passage must get the rest from the item's other terms,
+   which are rare.  Their short postings are added up for a whole batch as
+   arrays, and passages that can't reach the threshold with any item go.
 2. The rest go through block-max WAND: postings are in blocks of ``BLOCK``
    with their largest impact; the pivot term by list maxima, then the pivot's
    blocks' maxima, decide whether an item is scored or a block is skipped.
@@ -41,7 +43,7 @@ from .shared import ship
 PASSAGE, STRIDE = 128, 64
 BLOCK = 16
 K1, B = 1.2, 0.75
-THRESHOLD = 0.4
+THRESHOLD, SPARE = 0.4, 0.2
 GRAM = 3
 ANSWER, OVERLAP, WHOLE = 1 / 3, 0.5, 0.6
 ITEMS_PER_PART = 50_000
@@ -94,6 +96,16 @@ class Index:
         impact = part / np.maximum(own, 1e-12)[item] if len(term) else part
         cut = np.searchsorted(term, np.arange(len(self.vocabulary) + 1))
         self.most = np.maximum.reduceat(impact, cut[:-1]) if len(term) else np.zeros(0)
+        # what each item's commonest terms are worth together, and the postings of its other terms
+        order = np.lexsort((impact, item))
+        ahead = np.cumsum(impact[order])
+        begin = np.searchsorted(item[order], np.arange(len(self.items) + 1))
+        base = np.concatenate([[0.0], ahead])[begin[:-1]]
+        rare = np.ones(len(term), bool)
+        rare[order] = ahead - base[item[order]] > SPARE
+        self.spare = np.bincount(item[~rare], impact[~rare], len(self.items))
+        self.rare_item, self.rare_impact = item[rare], impact[rare]
+        self.rare_cut = np.searchsorted(term[rare], np.arange(len(self.vocabulary) + 1))
         self.postings, self.blocks = [], []
         for a, b in zip(cut[:-1], cut[1:], strict=True):
             self.postings.append((item[a:b].tolist(), impact[a:b].tolist()))
@@ -158,6 +170,21 @@ class Index:
             lists = [x for x in lists if x[2] < len(x[0])]
         return out
 
+    def reachable(self, passage: np.ndarray, term: np.ndarray) -> list[int]:
+        """The passages that can reach the threshold with some item."""
+        n = self.rare_cut[term + 1] - self.rare_cut[term]
+        ends = np.cumsum(n)
+        if not len(ends) or not ends[-1]:
+            return np.unique(passage).tolist() if (self.spare >= THRESHOLD).any() else []
+        at = np.repeat(self.rare_cut[term] - (ends - n), n) + np.arange(ends[-1])
+        pairs = np.repeat(passage, n) * len(self.items) + self.rare_item[at]
+        order = np.argsort(pairs, kind="stable")
+        pairs = pairs[order]
+        head = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
+        sums = np.add.reduceat(self.rare_impact[at][order], head)
+        where, item = np.divmod(pairs[head], len(self.items))
+        return np.unique(where[sums + self.spare[item] >= THRESHOLD - 1e-9]).tolist()
+
     def overlaps(self, item: int, words: np.ndarray) -> tuple[float, float, float]:
         """Which shares of the question's, the answer's and all trigrams occur among the words."""
         out = []
@@ -186,9 +213,8 @@ class Index:
             width = len(self.vocabulary)
             keys = [(cell - k)[ok] * width + place[at][ok] for k in range(PASSAGE // STRIDE) for ok in [cell - k >= base[doc]]]
             passage, term = np.divmod(np.unique(np.concatenate(keys)), width)
-            bound = np.bincount(passage, self.most[term], int(base[-1]))
             best: dict[tuple[int, int], tuple[float, int, float, float]] = {}
-            for p in np.flatnonzero(bound >= THRESHOLD - 1e-9).tolist():
+            for p in self.reachable(passage, term):
                 a, b = np.searchsorted(passage, [p, p + 1])
                 found = self.search(term[a:b].tolist(), THRESHOLD)
                 if not found:
