@@ -30,6 +30,7 @@ ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +44,7 @@ from .shared import ship
 PASSAGE, STRIDE = 128, 64
 BLOCK = 16
 K1, B = 1.2, 0.75
-THRESHOLD, SPARE = 0.4, 0.2
+THRESHOLD, SPARE = 0.5, 0.2
 GRAM = 3
 ANSWER, OVERLAP, WHOLE = 1 / 3, 0.5, 0.6
 ITEMS_PER_PART = 50_000
@@ -163,10 +164,7 @@ class Index:
                     target = min(target, lists[pivot + 1][0][lists[pivot + 1][2]])
                 target = max(target, item + 1)
             for x in lists[: pivot + 1]:
-                docs, at = x[0], x[2]
-                while at < len(docs) and docs[at] < target:
-                    at += 1
-                x[2] = at
+                x[2] = bisect_left(x[0], target, x[2])
             lists = [x for x in lists if x[2] < len(x[0])]
         return out
 
@@ -187,11 +185,12 @@ class Index:
 
     def overlaps(self, item: int, words: np.ndarray) -> tuple[float, float, float]:
         """Which shares of the question's, the answer's and all trigrams occur among the words."""
+        # every gram is compared with the passage's in order, so both sides are sorted once
+        have = np.sort(kernel.window_hashes(words, min(GRAM, max(1, len(self.items[item])))))
         out = []
         for grams in self.grams[item]:
-            size = min(GRAM, max(1, len(self.items[item])))
-            have = np.unique(kernel.window_hashes(words, size))
-            out.append(float(np.isin(grams, have).mean()) if len(grams) else 1.0)
+            place = np.minimum(np.searchsorted(have, grams), len(have) - 1)
+            out.append(float((have[place] == grams).mean()) if len(grams) and len(have) else float(not len(grams)))
         return out[0], out[1], out[2]
 
     def hits(self, column: pa.Array) -> Iterator[tuple[int, int, int, float, float, float]]:
