@@ -35,7 +35,7 @@ MOST_SOURCES = 1_000_000
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes = [np.diff(kernel.word_spans(d, o)[2]) for _, _, d, o in kernel.slices(batch.column(2))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(sizes) if sizes else [], pa.int64())], names=["doc_id", "source", "size"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(sizes) if sizes else [], pa.int64()), batch.column(3)], names=["doc_id", "source", "size", "row_key"])
 
 
 def targets(sizes: dict[str | None, int]) -> dict[str | None, float]:
@@ -124,10 +124,10 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
 
 def planned(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """Per row: doc_id, source, size, source_size, target, and how many times the mix takes it."""
+    """Per row: doc_id, source, row_key (a hash of the text), size, source_size, target, and how many times the mix takes it."""
     spark = docs.sparkSession
     ship(spark)
-    sizes = written(docs.select("doc_id", "source", "text").mapInArrow(_count_words, "doc_id long, source string, size long"), "lengths")
+    sizes = written(docs.select("doc_id", "source", "text", F.xxhash64("text").alias("row_key")).mapInArrow(_count_words, "doc_id long, source string, size long, row_key long"), "lengths")
     per_source = sizes.groupBy("source").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n")).limit(MOST_SOURCES + 1).collect()
     if len(per_source) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
@@ -152,4 +152,20 @@ def planned(docs: DataFrame, seed: int = SEED) -> DataFrame:
     quota = written(ahead.join(chosen, ["key", "size"]).select("key", "size", "salt", (F.col("take") - F.col("ahead")).alias("quota")), "quotas")
     rank = F.row_number().over(Window.partitionBy("key", "size", "salt").orderBy("order", "doc_id"))
     picked = keyed.join(quota, ["key", "size", "salt"]).withColumn("picked", (rank <= F.col("quota")).cast("int"))
-    return picked.join(F.broadcast(by_source.drop("rest")), "key").select("doc_id", "source", "size", "source_size", "target", (F.col("passes") + F.col("picked")).alias("times"))
+    return picked.join(F.broadcast(by_source.drop("rest")), "key").select("doc_id", "source", "row_key", "size", "source_size", "target", (F.col("passes") + F.col("picked")).alias("times"))
+
+
+def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """The rows of ``docs``, with all their columns, each as often as the mix takes it."""
+    # rows that agree in all of these are numbered on both sides, so that each meets one
+    key = ["_doc_id", "_source", "_row_key"]
+    same = [F.col("doc_id").alias(key[0]), F.col("source").alias(key[1]), F.xxhash64("text").alias(key[2])]
+    plan = planned(docs, seed).select("doc_id", "source", F.col("row_key").alias(key[2]), "times")
+    plan = plan.select(F.col("doc_id").alias(key[0]), F.col("source").alias(key[1]), key[2], "times", F.row_number().over(Window.partitionBy("doc_id", "source", key[2]).orderBy("times")).alias("_nth"))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), *same)
+    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*key).orderBy("_doc_id")))
+    on = F.lit(True)
+    for c in [*key, "_nth"]:
+        on = on & F.col(f"r.{c}").eqNullSafe(F.col(f"p.{c}"))
+    taken = rows.alias("r").join(plan.where("times > 0").alias("p"), on).select("r._row", F.explode(F.sequence(F.lit(1), "p.times")).alias("_time"))
+    return taken.select("_row.*")

@@ -7,11 +7,12 @@
    finds first (optimal densification).
 2. Documents with equal sets collapse to one representative.
 3. ``ROWS`` values form a band, a band's hash is a bucket.  In every bucket all
-   members are tested against one hub only, so a bucket of m costs m - 1 pairs.
-   Links that the hub hides are found in further rounds: buckets whose members
-   lie in several components take other hubs, until a round finds no
-   untested pair; the rounds' hubs rotate, so no bucket emits all its pairs
-   at once and merged components leave nothing to test.
+   members are tested against one hub, the least, so a bucket of m costs m - 1
+   pairs.  Links that the hub hides are found in further rounds: in buckets
+   whose members still lie in several components, members outside the bucket's
+   largest component become hubs, ``FIRST_HUBS`` a bucket and then more, until
+   every pair of a bucket is in one component or was tested.  Buckets of true
+   copies are one component by then and cost nothing.
 4. Candidates are confirmed on the full sets of the whole texts.
 5. Linked representatives are joined to components by alternating
    large-star and small-star steps on tables; nothing is collected.
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel
@@ -42,6 +43,7 @@ SHINGLE = 5
 BANDS, ROWS = 40, 4
 BINS = BANDS * ROWS
 THRESHOLD_PERCENT = 75
+FIRST_HUBS, MORE_HUBS = 8, 8
 _PROBES = 64
 
 _SIGNATURE = "doc_id long, n_shingles long, digest binary, bands array<long>"
@@ -155,7 +157,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
 
 
-def near_duplicates(docs: DataFrame, max_rounds: int = 12) -> DataFrame:
+def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept."""
     ship(docs.sparkSession)
     table = written(docs.select("doc_id", "text").mapInArrow(_signatures, _SIGNATURE), "signatures")
@@ -166,8 +168,22 @@ def near_duplicates(docs: DataFrame, max_rounds: int = 12) -> DataFrame:
 
     hubs = members.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
     edges = members.join(hubs, "bucket").where("rep <> hub.rep").where(_size_ok("n", "hub.n")).select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct()
-    links = written(confirmed(written(edges, "candidates"), texts), "links")
+    tested = written(edges, "candidates")
+    links = written(confirmed(tested, texts), "links")
     found = components(links)
+    most = FIRST_HUBS
+    while True:
+        edges, more = _hidden(members, reps, found, most)
+        fresh = written(edges.join(tested, ["a", "b"], "left_anti"), "candidates")
+        if not fresh.isEmpty():
+            new = written(confirmed(fresh, texts), "links")
+            tested = tested.union(fresh)
+            if not new.isEmpty():
+                links = links.union(new)
+                found = components(links)
+        elif not more:
+            break
+        most *= MORE_HUBS
     labelled = reps.select("digest", "rep").join(found, reps.rep == found.node, "left").select("digest", F.coalesce("component", "rep").alias("component"))
     return (
         table.join(labelled, "digest", "left")
@@ -176,6 +192,21 @@ def near_duplicates(docs: DataFrame, max_rounds: int = 12) -> DataFrame:
     )
 
 
+def _hidden(members: DataFrame, reps: DataFrame, found: DataFrame, most: int) -> tuple[DataFrame, bool]:
+    """Pairs of buckets in several components, of up to ``most`` hubs a bucket with all members of other components; whether a bucket has more hubs."""
+    at = reps.select("rep").distinct().join(found, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("component"))
+    placed = members.join(at, "rep")
+    parts = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c"))
+    mixed = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_parts"), F.max(F.struct("c", "component")).alias("largest")).where("n_parts > 1").select("bucket", F.col("largest.component").alias("largest"))
+    inside = written(placed.join(mixed, "bucket"), "mixed")
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("rep", "n"))
+    ranked = inside.where("component <> largest").withColumn("rank", rank)
+    hubs = ranked.where(F.col("rank") <= most).select("bucket", F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("component").alias("hub_component"))
+    pairs = inside.join(hubs, "bucket").where("component <> hub_component").where(_size_ok("n", "hub_n"))
+    edges = pairs.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+    return edges, not ranked.where(F.col("rank") > most).isEmpty()
+
+
 def _size_ok(n: str, m: str):
     """Sets whose sizes differ more can't be similar enough."""
     return F.least(F.col(n), F.col(m)) * 100 >= F.greatest(F.col(n), F.col(m)) * THRESHOLD_PERCENT
