@@ -107,7 +107,7 @@ def _since(as_of: Column, days: int) -> Column:
 
 def volume_anomalies(metrics: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
     rows = metrics.where((F.col("metric_name") == "row_count") & _since(as_of, days))
-    return rows.select("table_name", "partition_date", F.col("metric_value").cast("long").alias("row_count"), F.round("baseline_7d_avg").alias("baseline_avg_rows"), F.round("z_score", 2).alias("z_score"), status(F.col("z_score")).alias("status"), _deviation().alias("deviation_pct"))
+    return rows.select("table_name", "partition_date", F.col("metric_value").cast("long").alias("row_count"), F.round("baseline_7d_avg").alias("baseline_avg_rows"), _two_digits("z_score").alias("z_score"), status(F.col("z_score")).alias("status"), _deviation().alias("deviation_pct"))
 
 
 def volume_trend(metrics: DataFrame, as_of: Column, days: int = 30, tables: tuple[str, str, str] = ("bronze.orders", "silver.orders", "gold.order_daily_summary")) -> DataFrame:
@@ -125,7 +125,7 @@ def divergence(trend: DataFrame) -> DataFrame:
 def distribution_drift(metrics: DataFrame, as_of: Column, days: int = 14) -> DataFrame:
     stat, column = metric_parts(F.col("metric_name"))
     rows = metrics.where(F.col("metric_name").rlike("^(mean|stddev|p95)_") & _since(as_of, days))
-    return rows.select("partition_date", "table_name", column.alias("column_name"), stat.alias("stat_type"), _two_digits("metric_value").alias("value"), _two_digits("baseline_7d_avg").alias("baseline"), F.round("z_score", 2).alias("z_score"), "anomaly_detected")
+    return rows.select("partition_date", "table_name", column.alias("column_name"), stat.alias("stat_type"), _two_digits("metric_value").alias("value"), _two_digits("baseline_7d_avg").alias("baseline"), _two_digits("z_score").alias("z_score"), "anomaly_detected")
 
 
 def null_rates(metrics: DataFrame, as_of: Column, days: int = 14) -> DataFrame:
@@ -136,4 +136,4 @@ def null_rates(metrics: DataFrame, as_of: Column, days: int = 14) -> DataFrame:
 
 def active_anomalies(metrics: DataFrame, as_of: Column, span: str = "24 HOURS") -> DataFrame:
     rows = metrics.where(F.col("anomaly_detected") & (F.col("collected_at") >= as_of - F.expr(f"INTERVAL {span}")) & (F.col("collected_at") <= as_of))
-    return rows.select("collected_at", "table_name", "metric_name", _two_digits("metric_value").alias("current_value"), _two_digits("baseline_7d_avg").alias("expected_value"), F.round("z_score", 2).alias("z_score"), _deviation().alias("deviation_pct"))
+    return rows.select("collected_at", "table_name", "metric_name", _two_digits("metric_value").alias("current_value"), _two_digits("baseline_7d_avg").alias("expected_value"), _two_digits("z_score").alias("z_score"), _deviation().alias("deviation_pct"))

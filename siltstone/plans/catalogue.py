@@ -249,16 +249,16 @@ def _mnow():
     return F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")
 
 
-@query(f"""WITH {s.METRICS} SELECT table_name, partition_date, metric_name, round(metric_value + 1e-9, 3) AS metric_value, round(baseline_7d_avg + 1e-9, 3) AS baseline_7d_avg, round(baseline_7d_stddev + 1e-9, 3) AS baseline_7d_stddev, round(z_score, 2) AS z_score, anomaly_detected FROM metrics""")
+@query(f"""WITH {s.METRICS} SELECT table_name, partition_date, metric_name, round(metric_value + 1e-9, 3) AS metric_value, round(baseline_7d_avg + 1e-9, 3) AS baseline_7d_avg, round(baseline_7d_stddev + 1e-9, 3) AS baseline_7d_stddev, round(z_score + 1e-9, 2) AS z_score, anomaly_detected FROM metrics""")
 def monitor_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = oe.silver_metrics(spark, sf_dir)
-    return m.select("table_name", "partition_date", "metric_name", *(F.round(F.col(c) + 1e-9, 3).alias(c) for c in ("metric_value", "baseline_7d_avg", "baseline_7d_stddev")), F.round("z_score", 2).alias("z_score"), "anomaly_detected")
+    return m.select("table_name", "partition_date", "metric_name", *(F.round(F.col(c) + 1e-9, 3).alias(c) for c in ("metric_value", "baseline_7d_avg", "baseline_7d_stddev")), F.round(F.col("z_score") + 1e-9, 2).alias("z_score"), "anomaly_detected")
 
 
 _DEV = "round((metric_value - baseline_7d_avg) / nullif(baseline_7d_avg, 0) * 100, 1)"
 
 
-@query(f"""WITH {s.METRICS} SELECT table_name, partition_date, CAST(metric_value AS BIGINT) AS row_count, round(baseline_7d_avg) AS baseline_avg_rows, round(z_score, 2) AS z_score, CASE WHEN abs(z_score) > 3.0 THEN '✗ ANOMALY' WHEN abs(z_score) > 2.0 THEN '⚠ WARNING' ELSE '✓ NORMAL' END AS status, {_DEV} AS deviation_pct FROM metrics WHERE metric_name = 'row_count' AND partition_date >= CAST({_MNOW} AS DATE) - 7""")
+@query(f"""WITH {s.METRICS} SELECT table_name, partition_date, CAST(metric_value AS BIGINT) AS row_count, round(baseline_7d_avg) AS baseline_avg_rows, round(z_score + 1e-9, 2) AS z_score, CASE WHEN abs(z_score) > 3.0 THEN '✗ ANOMALY' WHEN abs(z_score) > 2.0 THEN '⚠ WARNING' ELSE '✓ NORMAL' END AS status, {_DEV} AS deviation_pct FROM metrics WHERE metric_name = 'row_count' AND partition_date >= CAST({_MNOW} AS DATE) - 7""")
 def q16_volume_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monitor.volume_anomalies(oe.silver_metrics(spark, sf_dir), _mnow())
 
@@ -287,7 +287,7 @@ def q31_layer_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monitor.divergence(monitor.volume_trend(_layers(spark, sf_dir), _mnow()))
 
 
-@query(f"""WITH {s.METRICS} SELECT partition_date, table_name, regexp_extract(metric_name, '^(mean|stddev|p95)_(.*)$', 2) AS column_name, regexp_extract(metric_name, '^(mean|stddev|p95)_(.*)$', 1) AS stat_type, round(metric_value + 1e-9, 2) AS value, round(baseline_7d_avg + 1e-9, 2) AS baseline, round(z_score, 2) AS z_score, anomaly_detected FROM metrics WHERE regexp_matches(metric_name, '^(mean|stddev|p95)_') AND partition_date >= CAST({_MNOW} AS DATE) - 14""")
+@query(f"""WITH {s.METRICS} SELECT partition_date, table_name, regexp_extract(metric_name, '^(mean|stddev|p95)_(.*)$', 2) AS column_name, regexp_extract(metric_name, '^(mean|stddev|p95)_(.*)$', 1) AS stat_type, round(metric_value + 1e-9, 2) AS value, round(baseline_7d_avg + 1e-9, 2) AS baseline, round(z_score + 1e-9, 2) AS z_score, anomaly_detected FROM metrics WHERE regexp_matches(metric_name, '^(mean|stddev|p95)_') AND partition_date >= CAST({_MNOW} AS DATE) - 14""")
 def q18_distribution_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monitor.distribution_drift(oe.silver_metrics(spark, sf_dir), _mnow())
 
@@ -297,7 +297,7 @@ def q19_null_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monitor.null_rates(oe.silver_metrics(spark, sf_dir), _mnow())
 
 
-@query(f"""WITH {s.METRICS} SELECT collected_at, table_name, metric_name, round(metric_value + 1e-9, 2) AS current_value, round(baseline_7d_avg + 1e-9, 2) AS expected_value, round(z_score, 2) AS z_score, {_DEV} AS deviation_pct FROM metrics WHERE anomaly_detected""")
+@query(f"""WITH {s.METRICS} SELECT collected_at, table_name, metric_name, round(metric_value + 1e-9, 2) AS current_value, round(baseline_7d_avg + 1e-9, 2) AS expected_value, round(z_score + 1e-9, 2) AS z_score, {_DEV} AS deviation_pct FROM metrics WHERE anomaly_detected""")
 def q20_active_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monitor.active_anomalies(oe.silver_metrics(spark, sf_dir), _mnow())
 
