@@ -9,14 +9,15 @@
 3. ``ROWS`` values form a band, a band's hash is a bucket.  In every bucket all
    members are tested against one hub, the one whose buckets are largest
    together (the least edited copy of a group), so a bucket of m costs m - 1
-   pairs.  Links that the hub hides are sought in further rounds: buckets whose
-   members still lie in several components take two hubs outside their largest
-   component, the most central one and one at random, against the members of
-   other components; rounds go on while they join components, ``MOST_ROUNDS``
-   at most.  Buckets of true copies are one component by then and cost nothing.
-   So candidates stay linear in the members of buckets; what this loses is
-   measured in the README.
-4. Candidates are confirmed on the full sets of the whole texts.
+   pairs.  Links that the hub hides are sought in ``HUB_ROUNDS`` further rounds:
+   buckets whose members still lie in several components take one hub outside
+   their largest component, the most central one or one at random, against the
+   members of other components.  Buckets of true copies are one component by
+   then and cost nothing.  So candidates stay linear in the members of buckets;
+   what this loses is measured in the README.
+4. Candidates whose signatures agree in too few bins for the threshold (by
+   ``SIGMAS`` standard deviations) go; the others are confirmed on the full sets
+   of the whole texts.
 5. Linked representatives are joined to components by alternating
    large-star and small-star steps on tables; nothing is collected.
 
@@ -46,7 +47,8 @@ SHINGLE = 5
 BANDS, ROWS = 40, 4
 BINS = BANDS * ROWS
 THRESHOLD_PERCENT = 75
-MOST_ROUNDS = 4
+HUB_ROUNDS = ("central", "random")
+SIGMAS = 5.0
 _PROBES = 64
 
 _SIGNATURE = "doc_id long, n_shingles long, digest binary, bands array<long>"
@@ -92,8 +94,6 @@ def densified(values: np.ndarray, filled: np.ndarray, blocks: list[np.ndarray])
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     blocks = [_probe_block(0)]
-    salt = kernel.mix64(np.arange(1, BANDS + 1, dtype=np.uint64))
-    base = np.uint64(0xC2B2AE3D27D4EB4F)
     for batch in batches:
         sizes, digests, bands, n_bands = [], [], [], []
         for _, _, data, offsets in kernel.slices(batch.column(1)):
@@ -106,12 +106,9 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     head = np.concatenate([[True], bins[1:] != bins[:-1]])
                     values, filled = np.zeros(BINS, np.uint64), np.zeros(BINS, bool)
                     values[bins[head]], filled[bins[head]] = x[head], True
-                    rows = densified(values, filled, blocks).reshape(BANDS, ROWS)
-                    h = salt.copy()
-                    for k in range(ROWS):
-                        h = h * base + rows[:, k]
-                    bands.append(kernel.mix64(h))
-        flat = np.concatenate(bands).view(np.int64) if bands else np.zeros(0, np.int64)
+                    # the low 16 bits of ROWS values are one band of 64 bits
+                    bands.append(densified(values, filled, blocks).astype(np.uint16).view(np.int64))
+        flat = np.concatenate(bands) if bands else np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), kernel.list_array(flat, np.array(n_bands, np.int64))], names=["doc_id", "n_shingles", "digest", "bands"])
 
 
@@ -129,11 +126,32 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([ids.filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
 
-def confirmed(edges: DataFrame, texts: DataFrame) -> DataFrame:
-    """The candidate edges (a, b) that are links, tested on whole texts."""
-    b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    pairs = edges.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b")
+def _promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (a, b, sizes, signatures): the pairs whose signatures allow the threshold.
+
+    A set smaller than the number of bins fills only so many, so it has as few independent bins.
+    """
+    for batch in batches:
+        left, right = (batch.column(c).flatten().to_numpy().view(np.uint16).reshape(-1, BINS) for c in ("bands_a", "bands_b"))
+        agree = (left == right).mean(axis=1)
+        bins = np.minimum(np.minimum(batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()), BINS)
+        p = THRESHOLD_PERCENT / 100
+        keep = pa.array(agree >= p - SIGMAS * np.sqrt(p * (1 - p) / bins))
+        yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+
+
+def confirmed(edges: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+    """The candidate edges (a, b) that are links: by signature first, then on whole texts."""
+    b = reps.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("bands").alias("bands_b"))
+    a = reps.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("bands").alias("bands_a"))
+    # these sides grow with the corpus: no side is ever broadcast, however small it looks
+    signed = edges.hint("merge").join(b, "b").hint("merge").join(a, "a").where(_size_ok("n_a", "n_b"))
+    good = written(signed.select("a", "b", "n_a", "n_b", "bands_a", "bands_b").mapInArrow(_promising, "a long, b long").distinct(), "promising")
+    wanted = good.select(F.col("a").alias("doc_id")).union(good.select("b")).distinct()
+    some = texts.join(wanted.hint("merge"), "doc_id", "left_semi")
+    b = some.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    a = some.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
+    pairs = good.hint("merge").join(b, "b").hint("merge").join(a, "a").select("a", "b", "text_a", "text_b")
     return pairs.mapInArrow(_confirm, "a long, b long").distinct()
 
 
@@ -166,44 +184,42 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     table = written(docs.select("doc_id", "text").mapInArrow(_signatures, _SIGNATURE), "signatures")
     sets = table.where("n_shingles > 0 and doc_id is not null")
     reps = written(sets.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "representatives")
-    members = reps.select("rep", "n", F.explode("bands").alias("bucket"))
+    members = reps.select("rep", F.posexplode("bands").alias("band", "values")).select("rep", F.xxhash64("band", "values").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    inside = written(members.join(shared, "bucket"), "buckets")
+    inside = written(members.join(shared.hint("merge"), "bucket"), "buckets")
     central = inside.groupBy("rep").agg(F.sum("size").alias("centre"))
-    inside = written(inside.join(central, "rep").select("bucket", "rep", "n", "centre"), "members")
+    inside = written(inside.join(central.hint("merge"), "rep").select("bucket", "rep", "centre"), "members")
     wanted = inside.select(F.col("rep").alias("doc_id")).distinct()
-    texts = written(docs.where("doc_id is not null").select("doc_id", "text").join(wanted, "doc_id", "left_semi"), "texts")
-
-    hubs = inside.groupBy("bucket").agg(F.max(F.struct("centre", (-F.col("rep")).alias("hub"), F.col("n").alias("hub_n"))).alias("h")).select("bucket", (-F.col("h.hub")).alias("hub"), "h.hub_n")
-    found = components(confirmed(written(_star(inside, hubs), "candidates"), texts))
-    for turn in range(1, MOST_ROUNDS):
-        links = written(confirmed(written(_hidden(inside, found, turn), "candidates"), texts), "links")
-        if links.isEmpty():
-            break
-        found = components(links.union(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    texts = written(docs.where("doc_id is not null").select("doc_id", "text").join(wanted.hint("merge"), "doc_id", "left_semi"), "texts")
+
+    hubs = inside.groupBy("bucket").agg(F.max(F.struct("centre", (-F.col("rep")).alias("hub"))).alias("h")).select("bucket", (-F.col("h.hub")).alias("hub"))
+    found = components(confirmed(_star(inside, hubs), reps, texts))
+    for turn, kind in enumerate(HUB_ROUNDS):
+        links = written(confirmed(_hidden(inside, found, kind, turn), reps, texts), "links")
+        if not links.isEmpty():
+            found = components(links.union(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     labelled = reps.select("digest", "rep").join(found, reps.rep == found.node, "left").select("digest", F.coalesce("component", "rep").alias("component"))
     return (
-        table.join(labelled, "digest", "left")
+        table.join(labelled.hint("merge"), "digest", "left")
         .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component")), F.col("doc_id"))).alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
     )
 
 
 def _star(members: DataFrame, hubs: DataFrame, apart: str = "rep <> hub") -> DataFrame:
-    """Distinct pairs of a bucket's members with its hubs, if their sizes allow a link."""
-    pairs = members.join(hubs, "bucket").where(apart).where(_size_ok("n", "hub_n"))
+    """Distinct pairs of a bucket's members with its hub."""
+    pairs = members.join(hubs.hint("merge"), "bucket").where(apart)
     return pairs.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
 
 
-def _hidden(inside: DataFrame, found: DataFrame, turn: int) -> DataFrame:
-    """Pairs in buckets of several components: two members outside the largest one with the members of other components."""
-    placed = inside.join(found, inside.rep == found.node, "left").select("bucket", "rep", "n", "centre", F.coalesce("component", "rep").alias("component"))
-    parts = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c"), F.max(F.struct("centre", "rep", "n")).alias("centre"), F.max(F.struct(F.xxhash64("rep", "bucket", F.lit(turn)).alias("at"), "rep", "n")).alias("any"))
+def _hidden(inside: DataFrame, found: DataFrame, kind: str, turn: int) -> DataFrame:
+    """Pairs in buckets of several components: one member outside the largest one with the members of other components."""
+    placed = inside.join(found.hint("merge"), inside.rep == found.node, "left").select("bucket", "rep", "centre", F.coalesce("component", "rep").alias("component"))
+    first = F.col("centre") if kind == "central" else F.xxhash64("rep", "bucket", F.lit(turn))
+    parts = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c"), F.max(F.struct(first.alias("first"), "rep")).alias("best"))
     mixed = parts.groupBy("bucket").agg(F.max(F.struct("c", "component")).alias("largest"), F.count(F.lit(1)).alias("n_parts")).where("n_parts > 1")
-    outside = parts.join(mixed, "bucket").where("component <> largest.component")
-    chosen = outside.groupBy("bucket").agg(F.max(F.struct("centre", "component")).alias("x"), F.max(F.struct("any", "component")).alias("y"))
-    two = F.array(F.struct(F.col("x.centre.rep").alias("hub"), F.col("x.centre.n").alias("hub_n"), F.col("x.component").alias("hub_component")), F.struct(F.col("y.any.rep").alias("hub"), F.col("y.any.n").alias("hub_n"), F.col("y.component").alias("hub_component")))
-    hubs = chosen.select("bucket", F.explode(F.array_distinct(two)).alias("h")).select("bucket", "h.*")
+    outside = parts.join(mixed.hint("merge"), "bucket").where("component <> largest.component")
+    hubs = outside.groupBy("bucket").agg(F.max(F.struct("best", "component")).alias("h")).select("bucket", F.col("h.best.rep").alias("hub"), F.col("h.component").alias("hub_component"))
     return _star(placed, hubs, "component <> hub_component")
 
 
