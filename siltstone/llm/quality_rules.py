@@ -119,7 +119,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> list[Rule]:
     scale = 1 << 30
     keep = F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < int(scale * min(1.0, TRAIN_DOCS / max(1, known.count())))
     chosen = known.where(keep).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    texts = docs.where(keep & (F.length("text") <= TRAIN_CHARS)).join(F.broadcast(chosen), "doc_id")
+    texts = docs.select("doc_id", "text").where(keep & (F.length("text") <= TRAIN_CHARS)).join(F.broadcast(chosen), "doc_id")
     # so few rows would be one task's work
     spread = texts.select("doc_id", "text", "quality").repartition(texts.sparkSession.sparkContext.defaultParallelism, "doc_id")
     # cached before it is filtered: a filter would be pushed down with the whole of what it tests inside it
