@@ -52,7 +52,7 @@ class Deduplicate(StatefulProcessor):
             else:
                 self.seen.update((at,))
                 verdict = (None, None)
-            yield Row(*(row[c] for c in self.columns), *verdict, late)
+            yield Row(**{c: row[c] for c in self.columns}, failure_reason=verdict[0], failure_stage=verdict[1], late_arrival=late)
 
     def close(self) -> None:
         pass
