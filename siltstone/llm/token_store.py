@@ -46,7 +46,7 @@ from .shared import plan_bytes, range_of, shared_path, ship
 END_ID = 2
 ROLL, MEAN_MASK, MIN_CHUNK, MAX_CHUNK = 8, 255, 64, 1024
 #: Distinct pieces that a Python worker remembers between texts.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 800_000
 BYTES_PER_SHARD = 8 << 20
 
 _ROW = "kind int, shard int, key binary, doc_id long, n long, body binary"
@@ -79,26 +79,27 @@ class PieceEncoder:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _learn(self, pieces: list[str]) -> None:
-        plain = [p for p in pieces if _MARK not in p]
-        odd = [p for p in pieces if _MARK in p]
-        found: list[np.ndarray] = []
+        plain = [p for p in pieces if _MARK not in p] if len(self.mark) == 1 else []
+        odd = [p for p in pieces if _MARK in p] if plain else pieces
+        found, sizes = [], []
         for k in range(0, len(plain), 512):
-            ids = np.array(self._whole(f" {_MARK} ".join(plain[k : k + 512])), np.uint32)
-            if len(self.mark) == 1:
-                cut = np.flatnonzero(ids == self.mark[0])
-                found += [x[1:] if i else x for i, x in enumerate(np.split(ids, cut))]
-            else:
-                found += [np.array(self._whole(p), np.uint32) for p in plain[k : k + 512]]
-        found += [np.array(self._whole(p), np.uint32) for p in odd]
+            text = f" {_MARK} ".join(plain[k : k + 512])
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            marks = ids == self.mark[0]
+            found.append(ids[~marks])
+            sizes.append(np.diff(np.concatenate([[-1], np.flatnonzero(marks), [len(ids)]])) - 1)
+        for p in odd:
+            found.append(np.array(self._whole(p), np.uint32))
+            sizes.append(np.array([len(found[-1])], np.int64))
+        flat, size = np.concatenate(found), np.concatenate(sizes)
         n, at = len(self.known), self.ends[len(self.known)]
-        sizes = np.array([len(x) for x in found], np.int64)
-        while len(self.ends) < n + len(found) + 1:
+        while len(self.ends) < n + len(size) + 1:
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        while len(self.ids) < at + sizes.sum():
+        while len(self.ids) < at + len(flat):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ends[n + 1 : n + 1 + len(found)] = at + np.cumsum(sizes)
-        self.ids[at : at + sizes.sum()] = np.concatenate(found) if found else []
-        self.known.update(zip(plain + odd, range(n, n + len(found)), strict=True))
+        self.ends[n + 1 : n + 1 + len(size)] = at + np.cumsum(size)
+        self.ids[at : at + len(flat)] = flat
+        self.known.update(zip(plain + odd, range(n, n + len(size)), strict=True))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and where each text's begin."""
@@ -117,12 +118,14 @@ class PieceEncoder:
         pieces = pa.StringArray.from_buffers(len(starts), pa.py_buffer(np.append(at, len(flat)).astype(np.int32)), pa.py_buffer(flat))
         coded = pc.dictionary_encode(pieces)
         distinct = coded.dictionary.to_pylist()
-        if len(self.known) + len(distinct) > max(CACHE_PIECES, len(distinct)):
-            self.clear()
         new = [p for p in distinct if p not in self.known]
+        if len(self.known) + len(new) > CACHE_PIECES and self.known:
+            self.clear()
+            new = distinct
         if new:
             self._learn(new)
-        place = np.array([self.known[p] for p in distinct], np.int64)[coded.indices.to_numpy()] if distinct else np.zeros(0, np.int64)
+        known = self.known
+        place = np.array([known[p] for p in distinct], np.int64)[coded.indices.to_numpy()] if distinct else np.zeros(0, np.int64)
         sizes = self.ends[place + 1] - self.ends[place]
         total = np.zeros(len(place) + 1, np.int64)
         np.cumsum(sizes, out=total[1:])
