@@ -16,6 +16,11 @@ def ratio_pct(part: Column, whole: Column, digits: int) -> Column:
     return F.round(part.cast("double") * 100.0 / F.nullif(whole.cast("double"), F.lit(0.0)), digits)
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """Rounded a trifle upwards, so that the last bits of a quotient don't decide a half."""
+    return F.round(x + 1e-7, digits)
+
+
 def age(now: Column, since: Column) -> Column:
     return now - since
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import modes
+from ..functions.scalars import modes, rounded
 from ..sources.snapshots import SnapshotTable
 
 #: The public contract of the daily summary, in order.
@@ -95,7 +95,7 @@ def refresh(gold: SnapshotTable, silver: DataFrame, changed: DataFrame, updated_
 
 def recent_revenue(summary: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
     return summary.where(F.col("order_date") >= F.date_sub(F.to_date(as_of), days)).select(
-        "order_date", "currency", "order_count", F.round(F.col("total_revenue_cents") / 100.0, 2).alias("revenue_usd"), F.round(F.col("avg_order_cents") / 100.0, 2).alias("avg_order_usd")
+        "order_date", "currency", "order_count", F.round(F.col("total_revenue_cents") / 100.0, 2).alias("revenue_usd"), rounded(F.col("avg_order_cents") / 100.0, 2).alias("avg_order_usd")
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import cents, latest_by, metric_parts, modes, ratio_pct
+from ..functions.scalars import cents, latest_by, metric_parts, modes, ratio_pct, rounded
 from ..operators import cdc, drift, gold, lineage, monitor, quality, silver, slo
 from ..streaming import windows
 from . import order_events as oe
@@ -82,7 +82,7 @@ def q01_gold_daily_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.withColumn("avg_order_cents", F.round("avg_order_cents", 4)).withColumn("p50_order_cents", F.round("p50_order_cents", 2)).withColumn("p95_order_cents", F.round("p95_order_cents", 2))
 
 
-@query(f"""WITH {s.GOLD} SELECT order_date, currency, order_count, round(total_revenue_cents / 100.0, 2) AS revenue_usd, round(avg_order_cents / 100.0, 2) AS avg_order_usd FROM gold WHERE order_date >= CAST({s.NOW} AS DATE) - 7""")
+@query(f"""WITH {s.GOLD} SELECT order_date, currency, order_count, round(total_revenue_cents / 100.0, 2) AS revenue_usd, round(avg_order_cents / 100.0 + 1e-7, 2) AS avg_order_usd FROM gold WHERE order_date >= CAST({s.NOW} AS DATE) - 7""")
 def q02_recent_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = gold.recent_revenue(oe.gold_summary(spark, sf_dir), oe.now())
     return out.withColumn("revenue_usd", F.col("revenue_usd").cast("double"))
@@ -128,11 +128,11 @@ def dead_letters_by_hour_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gold.dead_letters_by_hour(oe.dead_letters(spark, sf_dir), oe.now(), hours=24 * 366 * 10)
 
 
-@query(f"""WITH {s.GOLD} SELECT order_date, round(CAST(sum(total_revenue_cents) AS DOUBLE) / 100.0, 2) AS revenue_usd, CAST(sum(unique_customers) AS BIGINT) AS customers, round(CAST(sum(total_revenue_cents) AS DOUBLE) / nullif(CAST(sum(order_count) AS DOUBLE), 0) / 100, 2) AS avg_order_usd FROM gold WHERE order_date >= CAST({s.NOW} AS DATE) - 30 GROUP BY 1""")
+@query(f"""WITH {s.GOLD} SELECT order_date, round(CAST(sum(total_revenue_cents) AS DOUBLE) / 100.0, 2) AS revenue_usd, CAST(sum(unique_customers) AS BIGINT) AS customers, round(CAST(sum(total_revenue_cents) AS DOUBLE) / nullif(CAST(sum(order_count) AS DOUBLE), 0) / 100 + 1e-7, 2) AS avg_order_usd FROM gold WHERE order_date >= CAST({s.NOW} AS DATE) - 30 GROUP BY 1""")
 def q26_revenue_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = oe.gold_summary(spark, sf_dir).where(F.col("order_date") >= F.date_sub(F.to_date(oe.now()), 30))
     revenue = F.sum("total_revenue_cents").cast("double")
-    return g.groupBy("order_date").agg(F.round(revenue / 100.0, 2).alias("revenue_usd"), F.sum("unique_customers").alias("customers"), F.round(revenue / F.nullif(F.sum("order_count").cast("double"), F.lit(0.0)) / 100, 2).alias("avg_order_usd"))
+    return g.groupBy("order_date").agg(F.round(revenue / 100.0, 2).alias("revenue_usd"), F.sum("unique_customers").alias("customers"), rounded(revenue / F.nullif(F.sum("order_count").cast("double"), F.lit(0.0)) / 100, 2).alias("avg_order_usd"))
 
 
 @query(f"""WITH {s.SILVER} SELECT CAST(occurred_at AS DATE) AS order_date, currency, CAST(sum(total_amount_cents) AS BIGINT) AS total_revenue_cents FROM silver WHERE CAST(occurred_at AS DATE) = DATE '2001-06-13' GROUP BY 1, 2""")
