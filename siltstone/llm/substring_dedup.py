@@ -52,7 +52,7 @@ RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 def pack(*columns: np.ndarray) -> bytes:
     """Integer columns as zstd-compressed byte planes: small values cost only their low bytes."""
     parts = [np.array([len(columns)], np.int64).tobytes()]
-    for c in columns:
+    for c in map(np.ascontiguousarray, columns):
         planes = np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T) if len(c) else np.zeros(0, np.uint8)
         body = pa.compress(planes.tobytes(), codec="zstd", asbytes=True) if len(c) else b""
         kind = c.dtype.str.encode().ljust(8)
