@@ -13,8 +13,10 @@
    buckets whose members still lie in several components take one hub outside
    their largest component, the most central one or one at random, against the
    members of other components.  Buckets of true copies are one component by
-   then and cost nothing.  So candidates stay linear in the members of buckets;
-   what this loses is measured in the README.
+   then and cost nothing.  These rounds only save work: at the end every pair of
+   a bucket's members that still lie in two components is a candidate.  Buckets
+   of more than ``BLOCK`` members are cut into blocks, and two blocks are
+   compared as arrays of signatures, so only promising pairs become rows.
 4. Candidates whose signatures agree in too few bins for the threshold (by
    ``SIGMAS`` standard deviations) go; the others are confirmed on the full sets
    of the whole texts.
@@ -48,6 +50,7 @@ BANDS, ROWS = 40, 4
 BINS = BANDS * ROWS
 THRESHOLD_PERCENT = 75
 HUB_ROUNDS = ("central", "random")
+BLOCK = 64
 SIGMAS = 5.0
 _PROBES = 64
 
@@ -126,27 +129,57 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([ids.filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
 
+def _bins(bands: pa.ListArray) -> np.ndarray:
+    return bands.flatten().to_numpy().view(np.uint16).reshape(-1, BINS)
+
+
+def _least_agreement(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    p = THRESHOLD_PERCENT / 100
+    return p - SIGMAS * np.sqrt(p * (1 - p) / np.minimum(np.minimum(n, m), BINS))
+
+
 def _promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of (a, b, sizes, signatures): the pairs whose signatures allow the threshold.
 
     A set smaller than the number of bins fills only so many, so it has as few independent bins.
     """
     for batch in batches:
-        left, right = (batch.column(c).flatten().to_numpy().view(np.uint16).reshape(-1, BINS) for c in ("bands_a", "bands_b"))
-        agree = (left == right).mean(axis=1)
-        bins = np.minimum(np.minimum(batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()), BINS)
-        p = THRESHOLD_PERCENT / 100
-        keep = pa.array(agree >= p - SIGMAS * np.sqrt(p * (1 - p) / bins))
+        left, right = (_bins(batch.column(c)) for c in ("bands_a", "bands_b"))
+        keep = pa.array((left == right).mean(axis=1) >= _least_agreement(batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()))
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
 
+def _promising_in_cell(cell: pa.Table) -> pa.Table:
+    """Of the members of two blocks of a bucket (or of one, lo = hi): the pairs of two components that sizes and signatures allow."""
+    cell = cell.combine_chunks()
+    rep, component, n, block = (cell.column(c).to_numpy() for c in ("rep", "component", "n", "block"))
+    bins = _bins(cell.column("bands").combine_chunks()) if len(rep) else np.zeros((0, BINS), np.uint16)
+    lo, hi = cell.column("lo")[0].as_py(), cell.column("hi")[0].as_py()
+    right = np.flatnonzero(block == hi)
+    a, b = [], []
+    for i in np.flatnonzero(block == lo):
+        j = right[component[right] != component[i]]
+        if lo == hi:
+            j = j[j > i]
+        j = j[np.minimum(n[j], n[i]) * 100 >= np.maximum(n[j], n[i]) * THRESHOLD_PERCENT]
+        j = j[(bins[j] == bins[i]).mean(axis=1) >= _least_agreement(n[j], n[i])]
+        a.append(np.minimum(rep[i], rep[j]))
+        b.append(np.maximum(rep[i], rep[j]))
+    return pa.table({"a": np.concatenate([np.zeros(0, np.int64), *a]), "b": np.concatenate([np.zeros(0, np.int64), *b])})
+
+
 def confirmed(edges: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
     """The candidate edges (a, b) that are links: by signature first, then on whole texts."""
     b = reps.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("bands").alias("bands_b"))
     a = reps.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("bands").alias("bands_a"))
     # these sides grow with the corpus: no side is ever broadcast, however small it looks
     signed = edges.hint("merge").join(b, "b").hint("merge").join(a, "a").where(_size_ok("n_a", "n_b"))
-    good = written(signed.select("a", "b", "n_a", "n_b", "bands_a", "bands_b").mapInArrow(_promising, "a long, b long").distinct(), "promising")
+    return linked(signed.select("a", "b", "n_a", "n_b", "bands_a", "bands_b").mapInArrow(_promising, "a long, b long"), texts)
+
+
+def linked(promising: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose whole texts are similar enough."""
+    good = written(promising.distinct(), "promising")
     wanted = good.select(F.col("a").alias("doc_id")).union(good.select("b")).distinct()
     some = texts.join(wanted.hint("merge"), "doc_id", "left_semi")
     b = some.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
@@ -198,6 +231,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         links = written(confirmed(_hidden(inside, found, kind, turn), reps, texts), "links")
         if not links.isEmpty():
             found = components(links.union(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    links = written(_rest(inside, found, reps, texts), "links")
+    if not links.isEmpty():
+        found = components(links.union(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     labelled = reps.select("digest", "rep").join(found, reps.rep == found.node, "left").select("digest", F.coalesce("component", "rep").alias("component"))
     return (
         table.join(labelled.hint("merge"), "digest", "left")
@@ -212,9 +248,30 @@ def _star(members: DataFrame, hubs: DataFrame, apart: str = "rep <> hub") -> Dat
     return pairs.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
 
 
+def _placed(inside: DataFrame, found: DataFrame) -> DataFrame:
+    return inside.join(found.hint("merge"), inside.rep == found.node, "left").select("bucket", "rep", "centre", F.coalesce("component", "rep").alias("component"))
+
+
+def _rest(inside: DataFrame, found: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+    """The links among all pairs of a bucket whose members lie in two components."""
+    placed = _placed(inside, found)
+    mixed = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("bucket", "size")
+    placed = written(placed.join(mixed.hint("merge"), "bucket").select("bucket", "rep", "component", "size"), "mixed")
+    small = placed.where(F.col("size") <= BLOCK).select("bucket", F.col("rep").alias("a"), F.col("component").alias("component_a"))
+    other = small.select("bucket", F.col("a").alias("b"), F.col("component_a").alias("component_b"))
+    pairs = small.hint("merge").join(other, "bucket").where("a < b and component_a <> component_b").select("a", "b").distinct()
+    # every member of a large bucket meets each block once: the cell of blocks (lo, hi)
+    n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    large = placed.where(F.col("size") > BLOCK).select("*", F.pmod(F.xxhash64("rep"), n_blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("other"))
+    large = large.select("bucket", "rep", "component", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    signed = large.join(reps.hint("merge"), "rep").select("bucket", "lo", "hi", "block", "rep", "component", "n", "bands")
+    met = signed.groupBy("bucket", "lo", "hi").applyInArrow(_promising_in_cell, "a long, b long")
+    return confirmed(pairs, reps, texts).union(linked(met, texts)).distinct()
+
+
 def _hidden(inside: DataFrame, found: DataFrame, kind: str, turn: int) -> DataFrame:
     """Pairs in buckets of several components: one member outside the largest one with the members of other components."""
-    placed = inside.join(found.hint("merge"), inside.rep == found.node, "left").select("bucket", "rep", "centre", F.coalesce("component", "rep").alias("component"))
+    placed = _placed(inside, found)
     first = F.col("centre") if kind == "central" else F.xxhash64("rep", "bucket", F.lit(turn))
     parts = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c"), F.max(F.struct(first.alias("first"), "rep")).alias("best"))
     mixed = parts.groupBy("bucket").agg(F.max(F.struct("c", "component")).alias("largest"), F.count(F.lit(1)).alias("n_parts")).where("n_parts > 1")

@@ -287,6 +287,15 @@ def test_near_duplicates(spark, sf_dir, clashing, which):
             assert r["kept"] == (r["component_id"] == r["doc_id"])
 
 
+@pytest.mark.parametrize("n_pairs", [20, 60])
+def test_near_duplicates_over_boilerplate(spark, n_pairs):
+    """All texts share 296 of 346 shingles (0.747); the two of a pair share one more (0.752), so they meet in hot buckets only."""
+    base = " ".join(f"b{k}" for k in range(300))
+    docs = table(spark, [f"{base} p{i // 2} " + " ".join(f"u{i}x{k}" for k in range(49)) for i in range(2 * n_pairs)])
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(docs).collect()}
+    assert got == {i: i - i % 2 for i in range(2 * n_pairs)}
+
+
 def test_near_duplicates_of_nothing(empty):
     assert near_dup.near_duplicates(empty).collect() == []
 
