@@ -3,8 +3,10 @@
 The index is over the benchmark's items (terms are runs of letters and digits,
 lower-cased).  A term's impact on an item is its BM25 part divided by the
 item's own score, so a passage that holds the whole item scores 1 and one
-threshold serves all items.  Every passage of every document (``PASSAGE``
-words, every ``STRIDE``) is a query of its distinct terms:
+threshold serves all items.  Every passage of every document is a query of its
+distinct terms.  A passage has ``PASSAGE`` words, one every ``STRIDE``, for items
+of at most ``STRIDE`` terms; both are doubled until they hold a longer item, so a
+whole copy at any offset lies in one passage:
 
 1. An item's commonest terms, up to ``SPARE`` of its score, are set aside; to
    reach the threshold a passage must get the rest from the item's other terms,
@@ -85,6 +87,8 @@ class Index:
         flat = np.concatenate(terms) if terms else np.zeros(0, np.uint64)
         self.items = [flat[a:b] for a, b in zip(first, first[1:], strict=False)]
         lengths = np.diff(first)
+        # the stride of the passages that each item is sought in; items without terms are never sought
+        self.strides = np.array([STRIDE << max(0, -(-n // STRIDE) - 1).bit_length() for n in lengths.tolist()], np.int64)
         self.vocabulary, place = np.unique(flat, return_inverse=True)
         owner = np.repeat(np.arange(len(self.items)), lengths)
         pairs, tf = np.unique(place.astype(np.int64) * max(1, len(self.items)) + owner, return_counts=True)
@@ -168,12 +172,13 @@ class Index:
             lists = [x for x in lists if x[2] < len(x[0])]
         return out
 
-    def reachable(self, passage: np.ndarray, term: np.ndarray) -> list[int]:
-        """The passages that can reach the threshold with some item."""
+    def reachable(self, passage: np.ndarray, term: np.ndarray, stride: int) -> list[int]:
+        """The passages that can reach the threshold with some item of this stride."""
+        of_stride = self.strides == stride
         n = self.rare_cut[term + 1] - self.rare_cut[term]
         ends = np.cumsum(n)
         if not len(ends) or not ends[-1]:
-            return np.unique(passage).tolist() if (self.spare >= THRESHOLD).any() else []
+            return np.unique(passage).tolist() if (self.spare[of_stride] >= THRESHOLD).any() else []
         at = np.repeat(self.rare_cut[term] - (ends - n), n) + np.arange(ends[-1])
         pairs = np.repeat(passage, n) * len(self.items) + self.rare_item[at]
         order = np.argsort(pairs, kind="stable")
@@ -181,7 +186,7 @@ class Index:
         head = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
         sums = np.add.reduceat(self.rare_impact[at][order], head)
         where, item = np.divmod(pairs[head], len(self.items))
-        return np.unique(where[sums + self.spare[item] >= THRESHOLD - 1e-9]).tolist()
+        return np.unique(where[of_stride[item] & (sums + self.spare[item] >= THRESHOLD - 1e-9)]).tolist()
 
     def overlaps(self, item: int, words: np.ndarray) -> tuple[float, float, float]:
         """Which shares of the question's, the answer's and all trigrams occur among the words."""
@@ -204,29 +209,29 @@ class Index:
             place = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
             at = np.flatnonzero(self.vocabulary[place] == words)
             doc = np.searchsorted(first, at, "right") - 1
-            cell = (at - first[doc]) // STRIDE
-            n_cells = -(-np.diff(first) // STRIDE)
-            base = np.concatenate([[0], np.cumsum(n_cells)])
-            cell = cell + base[doc]
-            # a passage is PASSAGE // STRIDE cells, so a word is in as many passages
             width = len(self.vocabulary)
-            keys = [(cell - k)[ok] * width + place[at][ok] for k in range(PASSAGE // STRIDE) for ok in [cell - k >= base[doc]]]
-            passage, term = np.divmod(np.unique(np.concatenate(keys)), width)
             best: dict[tuple[int, int], tuple[float, int, float, float]] = {}
-            for p in self.reachable(passage, term):
-                a, b = np.searchsorted(passage, [p, p + 1])
-                found = self.search(term[a:b].tolist(), THRESHOLD)
-                if not found:
-                    continue
-                row = int(np.searchsorted(base, p, "right") - 1)
-                start = int((p - base[row]) * STRIDE)
-                text = words[first[row] + start : min(first[row + 1], first[row] + start + PASSAGE)]
-                for item, score in found:
-                    question, answer, whole = self.overlaps(item, text)
-                    if (question >= OVERLAP and answer >= OVERLAP) or whole >= WHOLE:
-                        old = best.get((row, item))
-                        if old is None or score > old[0]:
-                            best[row, item] = (score, start, question, answer)
+            for stride in np.unique(self.strides).tolist():
+                cell = (at - first[doc]) // stride
+                base = np.concatenate([[0], np.cumsum(-(-np.diff(first) // stride))])
+                cell = cell + base[doc]
+                # a passage is PASSAGE // STRIDE cells, so a word is in as many passages
+                keys = [(cell - k)[ok] * width + place[at][ok] for k in range(PASSAGE // STRIDE) for ok in [cell - k >= base[doc]]]
+                passage, term = np.divmod(np.unique(np.concatenate(keys)), width)
+                for p in self.reachable(passage, term, stride):
+                    a, b = np.searchsorted(passage, [p, p + 1])
+                    found = [x for x in self.search(term[a:b].tolist(), THRESHOLD) if self.strides[x[0]] == stride]
+                    if not found:
+                        continue
+                    row = int(np.searchsorted(base, p, "right") - 1)
+                    start = int((p - base[row]) * stride)
+                    text = words[first[row] + start : min(first[row + 1], first[row] + start + stride * (PASSAGE // STRIDE))]
+                    for item, score in found:
+                        question, answer, whole = self.overlaps(item, text)
+                        if (question >= OVERLAP and answer >= OVERLAP) or whole >= WHOLE:
+                            old = best.get((row, item))
+                            if old is None or score > old[0]:
+                                best[row, item] = (score, start, question, answer)
             for (row, item), (score, start, question, answer) in sorted(best.items()):
                 yield lo + row, item, start, score, question, answer
 

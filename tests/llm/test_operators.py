@@ -195,6 +195,16 @@ def test_wand_returns_all_above_threshold():
             assert sorted(i for i, _ in index.search(terms.tolist(), threshold)) == np.flatnonzero(score >= threshold - 1e-9).tolist()
 
 
+@pytest.mark.parametrize("n", [65, 240, 300, 2000])
+def test_long_items_at_any_offset(spark, n):
+    offsets = [0, 1, 37, 63, 64, 100, 999, 3000]
+    item, other = " ".join(f"t{k}" for k in range(n)), prose(3, 40)
+    docs = table(spark, [f"{prose(70 + o, o)} {item} {prose(90 + o, 500)}" for o in offsets] + [prose(7, 6000)])
+    got = decontamination.leaks(docs, items(spark, [item, other])).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(i, 0) for i in range(len(offsets))}
+    assert all(r["question_overlap"] == r["answer_overlap"] == 1 for r in got)
+
+
 def test_leaks_odd(spark, clashing, empty):
     bench = items(spark, [prose(1, 40), None, "", "one", prose(1, 40)])
     got = {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(clashing, bench).collect()}
