@@ -5,7 +5,7 @@ import zlib
 
 import numpy as np
 from conftest_llm import words
-from test_operators import groups, tokens
+from test_corpus_operators import groups, tokens
 
 import corpus_pipeline
 from siltstone.llm import mixing
