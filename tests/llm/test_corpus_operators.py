@@ -306,6 +306,47 @@ def test_near_duplicates_over_boilerplate(spark, n_pairs):
     assert got == {i: i - i % 2 for i in range(2 * n_pairs)}
 
 
+@pytest.mark.parametrize("n_changed", [5, 6, 7])
+def test_near_duplicates_of_one_form(spark, n_changed, monkeypatch):
+    """One form with some words changed in each: links are few and hidden among many pairs just under the threshold."""
+    if n_changed == 6:
+        monkeypatch.setattr(near_dup, "BLOCK", 100)  # buckets are dealt by class and block
+    rng = np.random.default_rng(n_changed)
+    form = [f"f{k}" for k in range(300)]
+    texts = []
+    for i in range(500):
+        at = set(rng.choice(300, n_changed, replace=False).tolist())
+        texts.append(" ".join(f"c{i}x{k}" if k in at else w for k, w in enumerate(form)))
+    docs = table(spark, texts)
+    want = groups(docs)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.near_duplicates(docs).collect()}
+    assert all({got[d]} == want[d] for d in want)
+
+
+def test_cells_find_what_all_pairs_do():
+    """Cut into batches anywhere, cells give the pairs of two components, two blocks and agreeing signatures."""
+    rng = np.random.default_rng(5)
+    n = 400
+    forms = rng.integers(0, 1 << 16, (12, near_dup.BINS)).astype(np.uint16)
+    bins = forms[rng.integers(0, 12, n)]
+    bins[rng.random(bins.shape) < 0.3] = 7
+    bins[:, :4] = 1
+    cell, block, component, size = np.sort(rng.integers(0, 9, n)), rng.integers(0, 2, n), rng.integers(0, 30, n), rng.integers(60, 100, n)
+    columns = {"cell": cell, "block": block, "lower": np.zeros(n, bool), "band": np.zeros(n, np.int8), "rep": np.arange(n), "component": component, "n": size, "bands": near_dup.kernel.list_array(bins.reshape(-1).view(np.int64), np.full(n, near_dup.BANDS))}
+    batch = pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in columns.items()})
+
+    def all_pairs(found):
+        rep = found.table.column("rep").to_numpy()
+        for a, b in found.pairs():
+            yield pa.table({"a": rep[a], "b": rep[b]})
+
+    got = [tuple(sorted(p)) for b in near_dup._in_cells(all_pairs)(batch.slice(k, 37) for k in range(0, n, 37)) for p in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    want = [(i, j) for i in range(n) for j in range(i + 1, n) if cell[i] == cell[j] and block[i] != block[j] and component[i] != component[j] and 100 * min(size[i], size[j]) >= 75 * max(size[i], size[j]) and (bins[i] == bins[j]).sum() >= near_dup.LEAST_BINS]
+    assert want and sorted(got) == want
+    some = pa.Table.from_batches(near_dup._in_cells(near_dup._Cell.promising)(iter([batch])))
+    assert set(some.column("rep").to_pylist()) == {i for p in want for i in p}
+
+
 def test_near_duplicates_of_nothing(empty):
     assert near_dup.near_duplicates(empty).collect() == []
 
