@@ -19,8 +19,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
-BLOCK_BYTES = 1 << 20
+SLICE_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 IS_SEP = np.zeros(256, dtype=bool)
 IS_SEP[[0x20, *range(0x09, 0x0E)]] = True
