@@ -7,10 +7,12 @@ new information the text holds given that language.  Phrases are counted per
 byte of letters ("normalised"), and the language with the fewest wins; the
 score is one minus its count over the runner-up's.
 
-A text is parsed by its words (runs of letters, lower-cased, with a space on
-either side; a run of over ``PIECE`` bytes is cut), so each distinct word of a
-batch is parsed once and phrases are summed over the whole text.  All distinct
-words of a batch walk the automaton in step as arrays.
+What is parsed is a text's letter stream: its runs of letters, lower-cased, each
+with one space before it; phrases cross words.  To parse as arrays, a stream is
+cut into lanes of ``LANE`` bytes which are parsed in step, each from its own first
+byte.  The parse of the whole stream is then stitched from lane to lane: where it
+enters a lane at a byte at which the lane's own parse begins a phrase, both are
+one from there on, and until then it goes on phrase by phrase.
 
 Training is bounded: at most about ``TRAIN_DOCS`` documents and ``TRAIN_BYTES``
 bytes a language, picked by a hash of doc_id among documents of at most
@@ -28,7 +30,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,10 +39,11 @@ from .shared import ship
 FOLDS, HELD_OUT = 3, 1
 TRAIN_DOCS, TRAIN_BYTES, TRAIN_CHARS = 120, 48_000, 100_000
 MOST_LANGUAGES = 500
-PIECE = 48
+LANE = 512
 
 RESULT = "doc_id long, held_out boolean, lang_pred string, score double"
 
+_BEGINS, _ROW = -(1 << 31), (1 << 31) - 1
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
@@ -58,27 +60,22 @@ def _lower(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-    """The runs of letters, lower-cased, and each text's first."""
+def letter_streams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The letter streams of some texts, and where each begins."""
     if not len(data):
-        return pa.array([], pa.binary()), np.zeros(len(offsets), np.int64)
-    data = _lower(data)
-    inside = _LETTER[data]
-    begin = inside.copy()
-    begin[1:] &= ~inside[:-1]
-    edges = offsets[offsets < len(data)]
-    begin[edges] = inside[edges]
-    at = np.flatnonzero(inside)
-    run_starts = np.flatnonzero(begin[at])
-    within = np.arange(len(at)) - np.repeat(run_starts, np.diff(np.append(run_starts, len(at))))
-    starts = np.flatnonzero(within % PIECE == 0)
-    first = np.searchsorted(at[starts], offsets)
-    pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(at)).astype(np.int32)), pa.py_buffer(data[inside])])
-    return pieces, first
+        return np.zeros(0, np.uint8), np.zeros(len(offsets), np.int64)
+    # a separator before each text lets its first run have its space
+    spaced = np.insert(_lower(data), offsets[:-1], 0x20)
+    inside = _LETTER[spaced]
+    begins = np.zeros(len(spaced), bool)
+    begins[:-1] = ~inside[:-1] & inside[1:]
+    spaced[begins] = 0x20
+    keep = inside | begins
+    return spaced[keep], np.concatenate([[0], np.cumsum(keep)])[offsets + np.arange(len(offsets))]
 
 
 class Automaton:
-    """A suffix automaton as one table: the state after a state and a byte, -1 if there is none."""
+    """A suffix automaton as one table: the row of the state after a state and a byte."""
 
     def __init__(self, text: bytes):
         step: list[dict[int, int]] = [{}]
@@ -107,48 +104,79 @@ class Automaton:
                         p = link[p]
                     link[q] = link[new] = twin
             last = new
+        # an arc is its target's row; where there is none, a phrase begins and the root's arc is taken: the sign says so
         used = sorted(set(text))
-        self.symbol = np.zeros(256, np.int32)
+        self.symbol = np.zeros(256, np.uint8)
         self.symbol[used] = np.arange(1, len(used) + 1)
-        self.width = len(used) + 1
-        self.table = np.full(len(step) * self.width, -1, np.int32)
-        for s, arcs in enumerate(step):
-            for c, t in arcs.items():
-                self.table[s * self.width + self.symbol[c]] = t
-
-    def phrases(self, letters: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Phrases of each row's first ``sizes`` bytes; rows are sorted by size, longest first."""
-        out = np.zeros(len(letters), np.int32)
-        state = np.zeros(len(letters), np.int32)
-        symbols = self.symbol[letters]
-        for k in range(int(sizes[0]) if len(sizes) else 0):
-            live = int(np.searchsorted(-sizes, -k, "left"))
-            here, c = state[:live], symbols[:live, k]
-            nxt = self.table[here * self.width + c]
-            stop = nxt < 0
-            out[:live] += stop | (here == 0)
-            again = self.table[c]
-            state[:live] = np.where(stop, np.maximum(again, 0), nxt)
+        width = len(used) + 1
+        self.table = np.tile(np.zeros(width, np.int32), len(step))
+        for c, t in step[0].items():
+            self.table[int(self.symbol[c]) :: width] = t * width
+        self.table |= _BEGINS
+        for s in range(1, len(step)):
+            for c, t in step[s].items():
+                self.table[s * width + int(self.symbol[c])] = t * width
+
+    def phrases(self, streams: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Phrases of each stream's greedy parse."""
+        symbols = self.symbol[streams]
+        sizes = np.diff(offsets)
+        lanes = -(-sizes // LANE)
+        stream = np.repeat(np.arange(len(sizes)), lanes)
+        first = np.cumsum(lanes) - lanes
+        begin = offsets[stream] + (np.arange(len(stream)) - first[stream]) * LANE
+        end = np.minimum(begin + LANE, offsets[stream + 1])
+        marks, exits = self._lanes(symbols, begin, end, offsets[stream + 1])
+        ahead = np.concatenate([[0], np.cumsum(marks)])
+        out = ahead[offsets[1:]] - ahead[offsets[:-1]]
+        table, letters = memoryview(self.table), memoryview(symbols)
+        for i in np.flatnonzero(lanes > 1).tolist():
+            at, stop, base, n = int(offsets[i]), int(offsets[i + 1]), int(offsets[i]), 0
+            while at < stop:
+                if marks[at]:
+                    lane = first[i] + (at - base) // LANE
+                    n += int(ahead[end[lane]] - ahead[at])
+                    at = int(exits[lane])
+                else:
+                    n += 1
+                    state = table[letters[at]] & _ROW
+                    at += 1
+                    while at < stop and (state := table[state + letters[at]]) >= 0:
+                        at += 1
+            out[i] = n
         return out
 
-
-def _parsed(words: pa.Array, automata: list[Automaton]) -> np.ndarray:
-    """Phrases of each word (a row) for each language (a column)."""
-    offsets = np.frombuffer(words.buffers()[1], np.int32)[: len(words) + 1].astype(np.int64)
-    data = np.frombuffer(words.buffers()[2], np.uint8)
-    sizes = np.diff(offsets)
-    order = np.argsort(-sizes, kind="stable")
-    out = np.zeros((len(words), len(automata)), np.float32)
-    for lo in range(0, len(words), 65536):
-        rows = order[lo : lo + 65536]
-        n = sizes[rows]
-        letters = np.full((len(rows), int(n[0]) + 2), 0x20, np.uint8)
-        place = np.arange(int(n[0]))
-        inside = place[None, :] < n[:, None]
-        letters[:, 1:-1][inside] = data[(offsets[rows][:, None] + place[None, :])[inside]]
-        for j, a in enumerate(automata):
-            out[rows, j] = a.phrases(letters, n + 2)
-    return out
+    def _lanes(self, symbols: np.ndarray, begin: np.ndarray, end: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each lane's own parse begins phrases, and where its first phrase beyond its end begins."""
+        exits, length = stop.copy(), end - begin
+        if not len(length):
+            return np.zeros(0, bool), exits
+        # lanes in order of length, longest first, a column each: those that still run are the first ones
+        order = np.argsort(-length, kind="stable")
+        inside = np.arange(int(length.max()))[None, :] < length[:, None]
+        columns = np.zeros(inside.shape, np.uint8)
+        columns[inside] = symbols
+        columns = np.ascontiguousarray(columns[order].T)
+        starts = np.zeros(columns.shape, bool)
+        state = np.zeros(len(length), np.int32)
+        running = np.searchsorted(-length[order], -np.arange(len(columns)), "left")
+        for k, n in enumerate(running.tolist()):
+            here = self.table[state[:n] + columns[k, :n]]
+            starts[k, :n] = here < 0
+            state[:n] = here & _ROW
+        marks = np.empty(inside.shape, bool)
+        marks[order] = starts.T
+        # lanes that another follows go on until their last phrase ends
+        live = order[end[order] < stop[order]]
+        at, state = end[live], state[end[order] < stop[order]]
+        while len(live):
+            here = self.table[state + symbols[at]]
+            on = here >= 0
+            exits[live[~on]] = at[~on]
+            at += 1
+            on &= at < stop[live]
+            live, at, state = live[on], at[on], here[on]
+        return marks[inside], exits
 
 
 class LanguageModel:
@@ -159,35 +187,24 @@ class LanguageModel:
             parts, size = [], 0
             for t in texts[lang]:
                 raw = t.encode()
-                words, _ = words_of(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-                parts += words.to_pylist()
-                size += sum(map(len, parts[-len(words) :])) + len(words) if len(words) else 0
+                parts.append(letter_streams(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0].tobytes())
+                size += len(parts[-1])
                 if size >= limit:
                     break
-            self.automata.append(Automaton(b" " + b" ".join(parts)[:limit] + b" "))
+            self.automata.append(Automaton(b"".join(parts)[:limit]))
 
     def predict(self, column: pa.Array) -> tuple[list[str], list[float]]:
         names, scores = [], []
         for lo, hi, data, offsets in kernel.slices(column):
-            words, first = words_of(data, offsets)
-            coded = pc.dictionary_encode(words) if len(words) else None
-            if coded is None or not self.languages:
-                names += ["und"] * (hi - lo)
-                scores += [0.0] * (hi - lo)
-                continue
-            distinct = coded.dictionary
-            place = coded.indices.to_numpy()
-            each = _parsed(distinct, self.automata).astype(np.float64)
-            size = np.diff(np.frombuffer(distinct.buffers()[1], np.int32)[: len(distinct) + 1]) + 1.0
-            total = np.zeros((len(place) + 1, len(self.languages) + 1))
-            np.cumsum(np.column_stack([each, size])[place], axis=0, out=total[1:])
-            sums = total[first[1:]] - total[first[:-1]]
+            streams, first = letter_streams(data, offsets)
+            sizes = np.diff(first)
+            each = [a.phrases(streams, first) for a in self.automata]
             for i in range(hi - lo):
-                if sums[i, -1] == 0 or not _has_letter(data[offsets[i] : offsets[i + 1]]):
+                if not each or not sizes[i] or not _has_letter(data[offsets[i] : offsets[i + 1]]):
                     names.append("und")
                     scores.append(0.0)
                     continue
-                need = sums[i, :-1] / sums[i, -1]
+                need = np.array([x[i] for x in each]) / sizes[i]
                 order = np.argsort(need, kind="stable")
                 names.append(self.languages[order[0]])
                 scores.append(float(1 - need[order[0]] / need[order[1]]) if len(order) > 1 else 1.0)
