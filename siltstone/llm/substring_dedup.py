@@ -5,13 +5,17 @@ Every window of ``window`` consecutive words of a document has a fingerprint:
 that verify a match (72 bits together: among 10**8 windows a false match has a
 chance of about 10**-6, among 10**13 about one window in 10**8 is affected).
 
-The index is a list of immutable runs.  A run is one bucketed table: each row
-holds the sorted fingerprints of some documents that fall into one bucket, as
-compressed byte planes, with the place of each window.  Buckets are files, so
+The index is a list of immutable runs.  A run is part of one bucketed table: each
+row holds the sorted fingerprints of some documents that fall into one bucket, as
+compressed byte planes, with the place of each window.  A map task that meets a
+fingerprint in several documents keeps only the first document's windows for the
+run; the others are duplicates already and go straight to their documents, so a
+line that is everywhere costs a bucket one entry a task.  Buckets are files, so
 a new batch meets the historical runs bucket by bucket without a shuffle: the
-sorted runs are merge-joined, each fingerprint's first document owns it, and
-windows of later documents are duplicates.  ``compact`` merges all runs into
-one that keeps only each fingerprint's first window.
+sorted runs are merged (by a sort that merges sorted stretches), each
+fingerprint's first document owns it, and windows of later documents are
+duplicates.  ``compact`` merges all runs into one that keeps only each
+fingerprint's first window, and deletes the old ones.
 
 Batches must arrive in ascending doc_id order (``deduplicate`` cuts them so).
 
@@ -33,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel
-from .shared import plan_bytes, ship, shared_path, written
+from .shared import plan_bytes, removed, ship, shared_path, written
 
 WINDOW = 13
 KEY_BITS, CHECK_BITS = 56, 16
@@ -41,7 +45,9 @@ KEY_BITS, CHECK_BITS = 56, 16
 FLUSH_WINDOWS = 4_000_000
 #: Bytes of input for each bucket file, and index rows' buckets for each file.
 BYTES_PER_FILE, BUCKETS_PER_FILE = 8 << 20, 4
-TARGETS = 256
+#: Spark's own limit (spark.sql.sources.bucketing.maxBuckets); larger tables take more batches.
+MOST_FILES = 100_000
+LEAST_TARGETS = 256
 
 _RUN = "bucket int, payload binary"
 _FOUND = "target int, payload binary"
@@ -79,11 +85,39 @@ def _ends(starts: np.ndarray, total: int) -> np.ndarray:
     return np.append(starts[1:], total)
 
 
+def _ordered(keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    """The order by key and check; a stable sort, so sorted stretches are merged."""
+    order = np.argsort(keys, kind="stable")
+    k, c = keys[order], checks[order]
+    return np.lexsort((checks, keys)) if ((k[1:] == k[:-1]) & (c[1:] < c[:-1])).any() else order
+
+
+def _late(keys: np.ndarray, checks: np.ndarray, doc_ids: np.ndarray) -> np.ndarray:
+    """Which of some ordered windows have an equal one in a document with a smaller doc_id."""
+    begin = np.flatnonzero(_same(keys, checks))
+    owner = np.minimum.reduceat(doc_ids, begin)
+    return doc_ids > np.repeat(owner, np.diff(np.append(begin, len(keys))))
+
+
+def _by_target(doc: np.ndarray, row: np.ndarray, pos: np.ndarray, targets: int) -> Iterator[tuple[int, bytes]]:
+    """Duplicate windows packed by the target of their document."""
+    if not len(doc):
+        return
+    target = kernel.mix64(doc.astype(np.uint64)) % np.uint64(targets)
+    order = np.lexsort((pos, row, doc, target))
+    doc, row, pos, target = doc[order], row[order], pos[order], target[order]
+    head = np.flatnonzero(np.concatenate([[True], target[1:] != target[:-1]]))
+    for a, b in zip(head, _ends(head, len(doc)), strict=True):
+        d, r, p = doc[a:b], row[a:b], pos[a:b]
+        first = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (r[1:] != r[:-1])]))
+        yield int(target[a]), pack(d[first], r[first], np.diff(np.append(first, len(p))).astype(np.uint32), p.astype(np.uint32))
+
+
 class _Gathered:
     """Windows of a map task's documents until they are emitted, sorted, by bucket."""
 
-    def __init__(self, buckets: int, key_bits: int):
-        self.buckets, self.key_bits = buckets, key_bits
+    def __init__(self, buckets: int, key_bits: int, targets: int):
+        self.buckets, self.key_bits, self.targets = buckets, key_bits, targets
         self.clear()
 
     def clear(self) -> None:
@@ -98,14 +132,20 @@ class _Gathered:
         self.n_docs += len(doc_ids)
 
     def rows(self) -> Iterator[pa.RecordBatch]:
+        """The run's rows by bucket; windows known as duplicates by target, as the bucket -1 - target."""
         if not self.n:
             return
         ids, rows = np.concatenate(self.docs, axis=1)
         keys, checks, doc = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        self.clear()
         # A window is named by its number among the task's windows: three bytes for both document and place.
         first = np.searchsorted(doc, np.arange(len(ids)))
-        order = np.argsort(keys, kind="stable")
+        order = _ordered(keys, checks)
         keys, checks = keys[order], checks[order]
+        late = _late(keys, checks, ids[doc[order]])
+        gone, order, keys, checks = order[late], order[~late], keys[~late], checks[~late]
+        for target, payload in _by_target(ids[doc[gone]], rows[doc[gone]], gone - first[doc[gone]], self.targets):
+            yield _row(-1 - target, payload)
         bucket = (keys >> np.uint64(self.key_bits - 32)) * np.uint64(self.buckets) >> np.uint64(32)
         cut = np.searchsorted(bucket, np.arange(self.buckets + 1).astype(np.uint64))
         for b in range(self.buckets):
@@ -114,16 +154,18 @@ class _Gathered:
                 here = order[lo:hi].astype(np.uint32)
                 used = np.unique(doc[here])
                 deltas = np.diff(keys[lo:hi], prepend=np.uint64(0))
-                payload = pack(deltas, checks[lo:hi], here, first[used].astype(np.int64), ids[used], rows[used])
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([payload], pa.binary())], names=["bucket", "payload"])
-        self.clear()
+                yield _row(b, pack(deltas, checks[lo:hi], here, first[used].astype(np.int64), ids[used], rows[used]))
+
 
+def _row(bucket: int, payload: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([payload], pa.binary())], names=["bucket", "payload"])
 
-def _fingerprints(window: int, buckets: int, key_bits: int):
+
+def _fingerprints(window: int, buckets: int, key_bits: int, targets: int):
     mask = np.uint64((1 << CHECK_BITS) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gathered = _Gathered(buckets, key_bits)
+        gathered = _Gathered(buckets, key_bits, targets)
         for batch in batches:
             ids, rows = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
             for lo, hi, data, offsets in kernel.slices(batch.column(2)):
@@ -170,23 +212,10 @@ def _merge(targets: int):
         payloads = table.column("payload").to_pylist()
         key, check, doc, row, pos = _decoded(payloads)
         fresh = np.repeat(new, [unpack_len(p) for p in payloads])
-        order = np.lexsort((check, key))
-        begin = np.flatnonzero(_same(key[order], check[order]))
-        owner = np.minimum.reduceat(doc[order], begin)
-        size = np.diff(np.append(begin, len(order)))
-        late = order[(doc[order] > np.repeat(owner, size)) & fresh[order]]
-        target = kernel.mix64(doc[late].astype(np.uint64)) % np.uint64(targets)
-        late = late[np.lexsort((pos[late], row[late], doc[late], target))]
-        target = kernel.mix64(doc[late].astype(np.uint64)) % np.uint64(targets)
-        cut = np.searchsorted(target, np.arange(targets + 1).astype(np.uint64))
-        out_t, out_p = [], []
-        for t in range(targets):
-            if cut[t] < cut[t + 1]:
-                x = late[cut[t] : cut[t + 1]]
-                head = np.flatnonzero(np.concatenate([[True], (doc[x][1:] != doc[x][:-1]) | (row[x][1:] != row[x][:-1])]))
-                out_t.append(t)
-                out_p.append(pack(doc[x][head], row[x][head], np.diff(np.append(head, len(x))).astype(np.uint32), pos[x]))
-        return pa.table({"target": pa.array(out_t, pa.int32()), "payload": pa.array(out_p, pa.binary())})
+        order = _ordered(key, check)
+        late = order[_late(key[order], check[order], doc[order]) & fresh[order]]
+        found = list(_by_target(doc[late], row[late], pos[late], targets))
+        return pa.table({"target": pa.array([t for t, _ in found], pa.int32()), "payload": pa.array([p for _, p in found], pa.binary())})
 
     return run
 
@@ -265,66 +294,75 @@ class FingerprintIndex:
 
     def __init__(self, spark: SparkSession, files: int, window: int = WINDOW, key_bits: int = KEY_BITS, fanout: int = 8):
         self.spark, self.files, self.window, self.key_bits, self.fanout = spark, max(1, files), window, key_bits, fanout
-        self.table, self.run, self.n_runs = self._new_table(), 0, 0
+        self.targets = max(LEAST_TARGETS, 2 * self.files)
+        self.run = 0
+        self._start()
 
-    def _new_table(self) -> str:
-        return f"fingerprints_{uuid.uuid4().hex[:12]}"
+    def _start(self) -> None:
+        self.table, self.n_runs = f"fingerprints_{uuid.uuid4().hex[:12]}", 0
+        self.path = shared_path(self.spark, self.table)
 
     def _append(self, rows: DataFrame) -> None:
         # runs of one table share its buckets, so a bucket's rows of all runs are read by one task without a shuffle
-        path = shared_path(self.spark, self.table) if not self.n_runs else None
         writer = rows.withColumn("run", F.lit(self.run)).write.mode("append").bucketBy(self.files, "bucket").option("compression", "none")
-        (writer.option("path", path) if path else writer).saveAsTable(self.table)
+        (writer if self.n_runs else writer.option("path", self.path)).saveAsTable(self.table)
         self.n_runs += 1
 
     def add(self, docs: DataFrame, with_text: bool = False) -> DataFrame:
         """Deduplicates a batch against itself and all runs, and makes it a run.  Its doc_ids must exceed those of earlier batches."""
         known = docs.select("doc_id", F.xxhash64("text").alias("row_key"), "text")
         self.run += 1
-        self._append(known.where("doc_id is not null").mapInArrow(_fingerprints(self.window, self.files * BUCKETS_PER_FILE, self.key_bits), _RUN))
-        merged = self.spark.table(self.table).select("bucket", "payload", (F.col("run") == self.run).alias("fresh"))
-        found = merged.groupBy("bucket").applyInArrow(_merge(TARGETS), _FOUND)
+        self._append(known.where("doc_id is not null").mapInArrow(_fingerprints(self.window, self.files * BUCKETS_PER_FILE, self.key_bits, self.targets), _RUN))
+        fresh = F.col("run") == self.run
+        runs = self.spark.table(self.table)
+        merged = runs.where("bucket >= 0").select("bucket", "payload", fresh.alias("fresh")).groupBy("bucket").applyInArrow(_merge(self.targets), _FOUND)
+        found = merged.union(runs.where((F.col("bucket") < 0) & fresh).select((-1 - F.col("bucket")).alias("target"), "payload"))
         marks = found.groupBy("target").applyInArrow(_gather, _SPANS)
         schema = RESULT + (", kept_text string" if with_text else "")
         return known.join(marks, ["doc_id", "row_key"], "left").select("doc_id", "text", "starts").mapInArrow(_kept(self.window, with_text), schema)
 
     def compact(self) -> None:
-        """Merges all runs into one once there are more than ``fanout``."""
+        """Merges all runs into one once there are more than ``fanout``; results of ``add`` must be written by then."""
         if self.n_runs <= self.fanout:
             return
-        old = self.table
-        rows = self.spark.table(old).groupBy("bucket").applyInArrow(_compacted, _RUN)
-        self.table, self.n_runs = self._new_table(), 0
+        old, path = self.table, self.path
+        rows = self.spark.table(old).where("bucket >= 0").select("bucket", "payload").groupBy("bucket").applyInArrow(_compacted, _RUN)
+        self._start()
         self._append(rows)
-        self.spark.sql(f"DROP TABLE {old}")
+        self._drop(old, path)
+
+    def close(self) -> None:
+        """Deletes the index; results of ``add`` must be written by then."""
+        self._drop(self.table, self.path)
+
+    def _drop(self, table: str, path: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        removed(self.spark, path)
 
 
-def deduplicate(docs: DataFrame, batches: int = 2, window: int = WINDOW, key_bits: int = KEY_BITS, fanout: int = 8, with_text: bool = False) -> DataFrame:
+def deduplicate(docs: DataFrame, batches: int = 3, window: int = WINDOW, key_bits: int = KEY_BITS, fanout: int = 1, with_text: bool = False) -> DataFrame:
     """Removes each word covered by a window that also starts in a document with a smaller doc_id.
 
-    The table is fed to a new index in ``batches`` of ascending doc_id, each as it would come in day by day.
+    The table is fed to a new index in ``batches`` of ascending doc_id, each as it would come in day by day;
+    after a batch, more than ``fanout`` runs are compacted.
     """
     spark = docs.sparkSession
     ship(spark)
-    files = min(8192, max(12, -(-plan_bytes(docs) // (BYTES_PER_FILE * batches))))
+    files = min(MOST_FILES, max(12, -(-plan_bytes(docs) // (BYTES_PER_FILE * batches))))
     index = FingerprintIndex(spark, files, window, key_bits, fanout)
     cuts = sorted(set(docs.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01))) if batches > 1 else []
     d = F.col("doc_id")
     bounds = [None, *(int(c) for c in cuts), None]
-    results = []
+    whole = None
     for lo, hi in zip(bounds, bounds[1:], strict=False):
         part = docs
         if lo is not None:
             part = part.where(d > lo)
         if hi is not None:
             part = part.where((d <= hi) | d.isNull()) if lo is None else part.where(d <= hi)
-        elif lo is None:
-            part = docs
-        out = index.add(part, with_text)
-        results.append(written(out, "deduplicated") if len(bounds) > 2 and hi is not None else out)
+        out = written(index.add(part, with_text), "deduplicated")
+        whole = out if whole is None else whole.unionByName(out)
         if hi is not None:
             index.compact()
-    whole = results[0]
-    for r in results[1:]:
-        whole = whole.unionByName(r)
+    index.close()
     return whole
