@@ -170,15 +170,36 @@ def test_rules_empty(spark, empty, clashing):
 # --- 4: decontamination ------------------------------------------------------
 
 
+def trigrams(text):
+    w = re.findall("[a-z0-9\\x80-\U0010ffff]+", "".join(c.lower() if c < "\x80" else c for c in text))
+    return {tuple(w[k : k + 3]) for k in range(len(w) - 2)}
+
+
+@pytest.mark.parametrize("parts", [8, 40])
+def test_hits_do_not_depend_on_parts(spark, monkeypatch, parts):
+    texts = [prose(k, 15 + k % 40, 120) for k in range(160)]
+    docs = table(spark, [f"{prose(500 + k, 60)} {' '.join(t.split()[: len(t.split()) * (6 + k % 5) // 10])} {prose(900 + k, 60)}" for k, t in enumerate(texts)])
+    whole = sorted(decontamination.leaks(docs, items(spark, texts)).collect())
+    assert len(whole) > 80
+    monkeypatch.setattr(decontamination, "ITEMS_PER_PART", 160 // parts)
+    assert sorted(decontamination.leaks(docs, items(spark, texts)).collect()) == whole
+    assert {r["doc_id"] for r in decontamination.clean(docs, items(spark, texts)).collect()} == set(range(160)) - {r["doc_id"] for r in whole}
+
+
 def items(spark, texts):
     return spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
 
 
 def test_leaks(spark, sf_dir):
     docs, bench = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    want = {(d["doc_id"], i["item_id"]) for d in docs.collect() for i in bench.collect() if i["text"] in (d["text"] or "")}
+    texts, wanted = {r["doc_id"]: r["text"] or "" for r in docs.collect()}, {r["item_id"]: r["text"] for r in bench.collect()}
+    want = {(d, i) for d, t in texts.items() for i, x in wanted.items() if x in t}
     got = {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(docs, bench).collect()}
-    assert want <= got and len(got - want) <= 1
+    assert want <= got
+    # what else is found shares most of its trigrams with the item
+    for d, i in got - want:
+        have, grams = trigrams(texts[d]), trigrams(wanted[i])
+        assert len(have & grams) >= 0.5 * len(grams)
     assert decontamination.clean(docs, bench).count() == docs.count() - len({d for d, _ in got})
 
 
@@ -195,7 +216,7 @@ def test_wand_returns_all_above_threshold():
             assert sorted(i for i, _ in index.search(terms.tolist(), threshold)) == np.flatnonzero(score >= threshold - 1e-9).tolist()
 
 
-@pytest.mark.parametrize("n", [65, 240, 300, 2000])
+@pytest.mark.parametrize("n", [20, 65, 200, 250, 300, 600, 2000])
 def test_long_items_at_any_offset(spark, n):
     offsets = [0, 1, 37, 63, 64, 100, 999, 3000]
     item, other = " ".join(f"t{k}" for k in range(n)), prose(3, 40)
@@ -412,21 +433,48 @@ def test_language(spark, sf_dir, clashing, empty):
     assert language_id.identify(empty).collect() == [] and language_id.accepted(clashing).columns == clashing.columns
 
 
+def streamed(text):
+    low = "".join(c.lower() if c < "\x80" or "\xc0" <= c <= "\xde" else c for c in text or "")
+    return "".join(" " + w for w in re.findall("[a-z\x80-\U0010ffff]+", low)).encode()
+
+
+def parsed(stream, known):
+    """The phrases of a greedy parse into the longest strings that occur in ``known``."""
+    n = i = 0
+    while i < len(stream):
+        k = 1
+        while i + k < len(stream) and stream[i : i + k + 1] in known:
+            k += 1
+        i, n = i + k, n + 1
+    return n
+
+
 def test_automaton_parses_greedily():
-    text = b" abcab cabba "
-    a = language_id.Automaton(text)
+    """Over streams shorter and longer than lanes, unknown letters, and copies of the learned text that cross lanes."""
+    known = streamed(prose(1, 900, 80))
+    automaton = language_id.Automaton(known)
+    texts = [prose(2, 2000, 90), prose(1, 900, 80), "x", "", "  ,. ", "ż" * 900, prose(3, 700, 80) + " " + prose(1, 900, 80)[100:3000] + " " + prose(4, 700, 80), "é à " + prose(5, 60), "zzzz " * 400]
+    raw = [t.encode() for t in texts]
+    streams, first = language_id.letter_streams(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    assert [streams[a:b].tobytes() for a, b in zip(first, first[1:], strict=False)] == [streamed(t) for t in texts]
+    assert automaton.phrases(streams, first).tolist() == [parsed(streamed(t), known) for t in texts]
 
-    def brute(s):
-        n = i = 0
-        while i < len(s):
-            k = 1
-            while i + k < len(s) and s[i : i + k + 1] in text and s[i : i + k] in text:
-                k += 1
-            i, n = i + k, n + 1
-        return n
 
-    for s in (b"abcab", b"xyz", b"bcabba", b" cab", b"abxab"):
-        assert a.phrases(np.frombuffer(s, np.uint8)[None, :], np.array([len(s)]))[0] == brute(s)
+def test_languages_by_brute_force(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    rows = docs.where("text is not null").collect()
+    known = {}
+    for r in rows:
+        known.setdefault(r["lang"], []).append(r["text"])
+    known = {k: v[:3] for k, v in known.items() if k is not None}
+    model = language_id.LanguageModel(known, 3000)
+    trained = {k: b"".join(map(streamed, v))[:3000] for k, v in known.items()}
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs, model).collect()}
+    for r in [r for r in rows if len(r["text"]) < 4000][:60]:
+        stream = streamed(r["text"])
+        if stream:
+            need = {k: parsed(stream, v) / len(stream) for k, v in trained.items()}
+            assert got[r["doc_id"]] == min(sorted(need), key=need.get)
 
 
 # --- 10: substring deduplication ---------------------------------------------
@@ -459,6 +507,27 @@ def test_substrings_odd(clashing, empty):
     assert substring_dedup.deduplicate(empty).collect() == []
 
 
+def test_common_line_leaves_a_task_once():
+    """Of a window in many documents a map task indexes the first one's; the others are known as duplicates."""
+    line = " ".join(f"l{k}" for k in range(13))
+    texts = [f"{line} {prose(k, 20)}" for k in range(50)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50), pa.int64()), pa.array(range(50), pa.int64()), pa.array(texts)], names=["doc_id", "row_key", "text"])
+    rows = [(b.column(0)[0].as_py(), b.column(1)[0].as_py()) for b in substring_dedup._fingerprints(13, 4, 56, 8)(iter([batch]))]
+    keys = np.concatenate([substring_dedup._decoded([p])[0] for b, p in rows if b >= 0])
+    assert len(keys) == len(np.unique(keys)) == len({tuple(words(t)[i : i + 13]) for t in texts for i in range(len(words(t)) - 12)})
+    late = [substring_dedup.unpack(p) for b, p in rows if b < 0]
+    assert sorted(d for doc, _, n, pos in late for d, at in zip(np.repeat(doc, n), pos, strict=True) if at == 0) == list(range(1, 50))
+
+
+def test_index_is_deleted(spark, sf_dir):
+    import os
+
+    before = set(spark.catalog.listTables()), set(os.listdir(substring_dedup.shared_path(spark, "x").rsplit("/", 1)[0]))
+    substring_dedup.deduplicate(documents(spark, sf_dir))
+    after = os.listdir(substring_dedup.shared_path(spark, "x").rsplit("/", 1)[0])
+    assert set(spark.catalog.listTables()) == before[0] and not [x for x in set(after) - before[1] if x.startswith("fingerprints")]
+
+
 def test_byte_planes_round_trip():
     columns = [np.array([], np.uint64), np.array([1, 1 << 60], np.uint64), np.arange(300, dtype=np.uint16), np.array([-5, 9], np.int64)]
     assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(columns, substring_dedup.unpack(substring_dedup.pack(*columns)), strict=True))
