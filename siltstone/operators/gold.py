@@ -80,27 +80,29 @@ def touched_days(changed: DataFrame) -> DataFrame:
 def refresh(gold: SnapshotTable, silver: DataFrame, changed: DataFrame, updated_at: Column) -> None:
     """Recomputes every day that ``changed`` rows fall on, whole, and swaps those days in one commit.
 
-    Distinct counts and percentiles don't merge, so a touched day is rebuilt from all its Silver rows; the
-    semi-join is by day, which prunes Silver's day partitions.  Running it twice changes nothing.
+    Distinct counts and percentiles don't merge, so a touched day is rebuilt from all its Silver rows.  Gold has
+    a row a day and currency, so the commit rewrites it whole, in few files; a commit of another writer in
+    between raises CommitConflict.  Running it twice changes nothing.
     """
     days = touched_days(changed)
     of_days = silver.join(days, F.to_date("occurred_at") == F.col("order_date"), "left_semi")
     fresh = contract_view(daily_summary(of_days, updated_at))
     if not gold.exists():
-        gold.commit(fresh, partition_by=["order_date"])
+        gold.commit(fresh.hint("rebalance"))
         return
-    kept = gold.read().join(days, "order_date", "left_anti").select(*fresh.columns)
-    gold.commit(kept.unionByName(fresh), mode="replace", partition_by=["order_date"])
+    base = gold.current().number
+    kept = gold.read(number=base).join(days, "order_date", "left_anti").select(*fresh.columns)
+    gold.commit(kept.unionByName(fresh).hint("rebalance"), mode="replace", base=base)
 
 
 def recent_revenue(summary: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
     return summary.where(F.col("order_date") >= F.date_sub(F.to_date(as_of), days)).select(
         "order_date", "currency", "order_count", F.round(F.col("total_revenue_cents") / 100.0, 2).alias("revenue_usd"), rounded(F.col("avg_order_cents") / 100.0, 2).alias("avg_order_usd")
-    )
+    ).orderBy(F.desc("order_date"), F.desc("revenue_usd"), "currency")
 
 
 def revenue_by_day(summary: DataFrame) -> DataFrame:
-    return summary.groupBy("order_date").agg(F.round(F.sum("total_revenue_cents").cast("double") / 100.0, 2).alias("revenue_usd"))
+    return summary.groupBy("order_date").agg(F.round(F.sum("total_revenue_cents").cast("double") / 100.0, 2).alias("revenue_usd")).orderBy(F.desc("order_date"))
 
 
 def freshness(summary: DataFrame, as_of: Column, limit_minutes: int = 5) -> DataFrame:
@@ -115,9 +117,9 @@ def dead_letters_by_hour(letters: DataFrame, as_of: Column, hours: int = 24) ->
     recent = letters.where((F.col("arrived_at") >= as_of - F.expr(f"INTERVAL {hours} HOURS")) & (F.col("arrived_at") < as_of)).withColumn("hour", F.date_trunc("hour", "arrived_at"))
     counts = recent.groupBy("hour").agg(F.count(F.lit(1)).alias("dlq_count"), F.count_if("late_arrival").alias("late_arrivals"))
     top = modes(recent, ["hour"], ["failure_stage", "failure_reason"])
-    return counts.join(top, "hour").select("hour", "dlq_count", "late_arrivals", F.col("failure_stage").alias("dominant_failure_stage"), F.col("failure_reason").alias("dominant_failure_reason"))
+    return counts.join(top, "hour").select("hour", "dlq_count", "late_arrivals", F.col("failure_stage").alias("dominant_failure_stage"), F.col("failure_reason").alias("dominant_failure_reason")).orderBy(F.desc("hour"))
 
 
 def dead_letter_audit(letters: DataFrame, as_of: Column, hours: int = 24) -> DataFrame:
     recent = letters.where((F.col("arrived_at") >= as_of - F.expr(f"INTERVAL {hours} HOURS")) & (F.col("arrived_at") < as_of))
-    return recent.groupBy(F.date_trunc("hour", "arrived_at").alias("hour"), "failure_stage", "failure_reason").agg(F.count(F.lit(1)).alias("event_count"))
+    return recent.groupBy(F.date_trunc("hour", "arrived_at").alias("hour"), "failure_stage", "failure_reason").agg(F.count(F.lit(1)).alias("event_count")).orderBy(F.desc("hour"), F.desc("event_count"), "failure_stage", "failure_reason")

@@ -325,3 +325,54 @@ def test_field_ids_survive_a_rename(spark, tmp_path):
         assert spark.read.schema(T.StructType(fields)).parquet(str(tmp_path / "p")).collect() == [(1, None)]
     finally:
         spark.conf.unset("spark.sql.parquet.fieldId.read.enabled")
+
+
+def test_replace_never_loses_an_append(spark, tmp_path):
+    """An append between the base of a replace and its commit makes the replace fail, and compaction too."""
+    from siltstone.sources.snapshots import CommitConflict, SnapshotTable
+
+    table = SnapshotTable(spark, str(tmp_path / "t"))
+    table.commit(spark.range(10))
+    base = table.current().number
+    table.commit(spark.range(10, 15))
+    with pytest.raises(CommitConflict):
+        table.commit(spark.range(3), mode="replace", base=base)
+    assert table.read().count() == 15
+
+    class Disturbed(SnapshotTable):
+        def commit(self, df, **options):
+            SnapshotTable(self.spark, self.path).commit(self.spark.range(100, 105))
+            return super().commit(df, **options)
+
+    with pytest.raises(CommitConflict):
+        Disturbed(spark, table.path).compact()
+    assert table.read().count() == 20
+    table.compact()
+    assert sorted(r["id"] for r in table.read().collect()) == [*range(15), *range(100, 105)]
+    assert not [x for x in (tmp_path / "t" / "_log").iterdir() if "tmp" in x.name and not x.name.endswith(".crc")]
+
+
+def test_time_bounded_join_in_buckets(spark):
+    """Every pair within the bound once, also over bucket borders and before 1970."""
+    import datetime
+
+    from siltstone.streaming import windows
+
+    zero = datetime.datetime(1969, 12, 31, 20)
+    left = [(1, zero + datetime.timedelta(minutes=37 * k)) for k in range(60)]
+    right = [(1, zero + datetime.timedelta(minutes=53 * k, seconds=k)) for k in range(60)]
+    for kind in ("timestamp", "timestamp_ntz"):
+        a = spark.createDataFrame(left, "u long, t timestamp_ntz").withColumn("t", F.col("t").cast(kind))
+        b = spark.createDataFrame(right, "u long, s timestamp_ntz").withColumn("s", F.col("s").cast(kind))
+        got = windows.time_bounded_join(a, b, "u", "t", "s", "2 HOURS").select("t", "s").count()
+        assert got == sum(datetime.timedelta(0) <= y - x <= datetime.timedelta(hours=2) for _, x in left for _, y in right)
+
+
+def test_lineage_reaches_through_any_number_of_jobs(spark, monkeypatch):
+    """A chain of 14 columns that ends in a cycle."""
+    from siltstone.operators import lineage
+
+    pairs = spark.createDataFrame([(f"c{k}", f"c{k + 1}") for k in range(14)] + [("c14", "c0")], "source_field string, output_column string")
+    monkeypatch.setattr(lineage, "edges", lambda events: pairs)
+    got = {r["column"]: r["hops"] for r in lineage.reachable(pairs, "c0").collect()}
+    assert got == {**{f"c{k}": k for k in range(1, 15)}, "c0": 15}
