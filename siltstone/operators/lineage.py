@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.scratch import scratch_path
 from ..functions.scalars import modes, ratio_pct
 
 EVENTS = T.StructType([
@@ -118,16 +119,26 @@ def backward_trace(events: DataFrame, column: str) -> DataFrame:
     return edges(events).where(F.col("output_column") == column).select("output_column", "source_dataset", "source_field", "transform_type", F.col("job_name").alias("transformation_step")).distinct()
 
 
-def reachable(events: DataFrame, field: str, most_hops: int = 10) -> DataFrame:
-    """Every column that a field reaches over any number of jobs, with the fewest hops."""
-    pairs = edges(events).select("source_field", "output_column").distinct()
-    found = pairs.where(F.col("source_field") == field).select(F.col("output_column").alias("column"), F.lit(1).alias("hops")).distinct()
-    front = found
-    for hop in range(2, most_hops + 1):
-        front = front.join(pairs, front.column == pairs.source_field).select(F.col("output_column").alias("column")).distinct().join(found, "column", "left_anti").withColumn("hops", F.lit(hop))
-        if front.isEmpty():
-            break
-        found = found.unionByName(front)
+def reachable(events: DataFrame, field: str) -> DataFrame:
+    """Every column that a field reaches over any number of jobs, with the fewest hops.
+
+    Each step is written, so the plan stays as small as the graph is deep; a cycle ends when nothing new is found.
+    """
+    spark = events.sparkSession
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(spark, name)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    pairs = kept(edges(events).select("source_field", "output_column").distinct(), "lineage_pairs")
+    front = kept(pairs.where(F.col("source_field") == field).select(F.col("output_column").alias("column"), F.lit(1).alias("hops")).distinct(), "lineage_front")
+    found, hop = front, 1
+    while not front.isEmpty():
+        hop += 1
+        onward = front.join(pairs, front.column == pairs.source_field).select(F.col("output_column").alias("column")).distinct()
+        front = kept(onward.join(found, "column", "left_anti").select("column", F.lit(hop).alias("hops")), "lineage_front")
+        found = kept(found.unionByName(front), "lineage_found")
     return found
 
 

@@ -12,7 +12,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass, fields
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -142,13 +142,11 @@ def profile(df: DataFrame, rules: list[Rule], stage: str, now: Column, time: str
     end = (start + F.expr(f"INTERVAL 1 {window}")) if time else start
     # the verdicts are columns first, so that each is computed once for its three aggregates
     judged = df.select(start.alias("window_start"), end.alias("window_end"), failing.cast("string").alias("_id"), *(passes(r, columns, now).alias(f"_ok{i}") for i, r in enumerate(rules)))
-    aggregates = [F.count(F.lit(1)).alias("_total")]
-    for i in range(len(rules)):
-        aggregates.append(F.count_if(f"_ok{i}").alias(f"_passed{i}"))
-        aggregates.append(_first_ids(i).alias(f"_ids{i}"))
-    scored = judged.groupBy("window_start", "window_end").agg(*aggregates)
-    each = F.array(*(F.struct(F.lit(r.name).alias("check_name"), F.lit(r.dimension).alias("dimension"), F.lit(float(r.threshold)).alias("threshold"), F.col(f"_passed{i}").alias("passed"), F.col(f"_ids{i}").alias("ids")) for i, r in enumerate(rules)))
-    rows = scored.select("window_start", "window_end", "_total", F.explode(each).alias("c"))
+    scored = judged.groupBy("window_start", "window_end").agg(F.count(F.lit(1)).alias("_total"), *(F.count_if(f"_ok{i}").alias(f"_passed{i}") for i in range(len(rules))))
+    each = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(r.name).alias("check_name"), F.lit(r.dimension).alias("dimension"), F.lit(float(r.threshold)).alias("threshold"), F.col(f"_passed{i}").alias("passed")) for i, r in enumerate(rules)))
+    counted = scored.select("window_start", "window_end", "_total", F.explode(each).alias("c"))
+    samples = _first_ids(judged, len(rules))
+    rows = counted.join(samples, F.col("window_start").eqNullSafe(F.col("_window")) & (F.col("c.i") == F.col("_check")), "left")
     score = F.when(F.col("_total") > 0, F.col("c.passed") / F.col("_total")).otherwise(F.lit(1.0))
     return rows.select(
         (run_id if run_id is not None else stable_id(F.lit(stage), F.col("window_start"))).alias("run_id"),
@@ -162,20 +160,23 @@ def profile(df: DataFrame, rules: list[Rule], stage: str, now: Column, time: str
         F.round(score, 6).alias("quality_score"),
         "c.threshold",
         (score >= F.col("c.threshold")).alias("threshold_met"),
-        F.to_json("c.ids").alias("sample_failure_ids"),
+        F.to_json(F.coalesce("_ids", F.array().cast("array<string>"))).alias("sample_failure_ids"),
         "window_start",
         "window_end",
         F.col("window_end").alias("evaluated_at"),
     )
 
 
-def _first_ids(i: int) -> Column:
-    """The least SAMPLE failing ids.
+def _first_ids(judged: DataFrame, n_rules: int) -> DataFrame:
+    """The least SAMPLE failing ids of each window and rule.
 
-    min_by over successive ids would need a pass each; collecting a window's failing ids and slicing is one pass,
-    and failures are the few.
+    Spark limits a ranked window before the shuffle, so each task sends SAMPLE ids of a window and rule at most,
+    however many rows fail.
     """
-    return F.slice(F.sort_array(F.collect_list(F.when(~F.col(f"_ok{i}"), F.col("_id")))), 1, SAMPLE)
+    failed = F.filter(F.array(*(F.when(~F.col(f"_ok{i}"), F.lit(i)) for i in range(n_rules))), lambda i: i.isNotNull())
+    each = judged.where(F.col("_id").isNotNull()).select(F.col("window_start").alias("_window"), "_id", F.explode(failed).alias("_check"))
+    ranked = each.withColumn("_rank", F.row_number().over(Window.partitionBy("_window", "_check").orderBy("_id"))).where(F.col("_rank") <= SAMPLE)
+    return ranked.groupBy("_window", "_check").agg(F.sort_array(F.collect_list("_id")).alias("_ids"))
 
 
 def _recent(results: DataFrame, as_of: Column, span: str) -> DataFrame:
@@ -201,7 +202,7 @@ def waterfall(results: DataFrame, as_of: Column, span: str = "24 HOURS") -> Data
         label = F.when(F.col("pipeline_stage") == k, v).otherwise(label)
     return totals.join(top, "pipeline_stage", "left").select(
         label.alias("stage"), "total_records", "passed_records", "failed_records", pct.alias("quality_pct"), "checks_below_threshold", F.coalesce("top", F.lit("—")).alias("top_failing_check"), status_mark(pct).alias("status")
-    )
+    ).orderBy("stage")
 
 
 def status_mark(pct: Column) -> Column:
@@ -211,7 +212,7 @@ def status_mark(pct: Column) -> Column:
 def hourly_trend(results: DataFrame, as_of: Column, span: str = "30 DAYS") -> DataFrame:
     return _recent(results, as_of, span).groupBy(F.date_trunc("hour", "evaluated_at").alias("hour"), "pipeline_stage").agg(
         F.round(F.avg("quality_score") * 100, 3).alias("avg_quality_pct"), F.round(F.min("quality_score") * 100, 6).alias("min_quality_pct"), F.count_if(~F.col("threshold_met")).alias("threshold_breaches")
-    )
+    ).orderBy(F.desc("hour"), "pipeline_stage")
 
 
 def failure_breakdown(results: DataFrame, as_of: Column, span: str = "7 DAYS") -> DataFrame:
@@ -223,7 +224,7 @@ def failure_breakdown(results: DataFrame, as_of: Column, span: str = "7 DAYS") -
         F.round(F.min("quality_score") * 100, 6).alias("worst_quality_pct"),
         F.count_if(~F.col("threshold_met")).alias("windows_below_threshold"),
         F.max("evaluated_at").alias("last_failure_at"),
-    )
+    ).orderBy(F.desc("total_failures"), "pipeline_stage", "check_name", "dimension")
 
 
 def failing_ids(results: DataFrame, as_of: Column, span: str = "1 HOUR", limit: int = 100) -> DataFrame:
@@ -235,7 +236,7 @@ def failing_ids(results: DataFrame, as_of: Column, span: str = "1 HOUR", limit:
 def compliance(results: DataFrame, as_of: Column, span: str = "30 DAYS") -> DataFrame:
     return _recent(results, as_of, span).groupBy("pipeline_stage", "check_name", F.col("threshold").alias("required_threshold")).agg(
         F.count(F.lit(1)).alias("total_windows"), F.count_if("threshold_met").alias("passing_windows"), ratio_pct(F.count_if("threshold_met"), F.count(F.lit(1)), 3).alias("compliance_pct")
-    )
+    ).orderBy("compliance_pct", "pipeline_stage", "check_name", "required_threshold")
 
 
 def dead_letter_context(results: DataFrame, letters: DataFrame, as_of: Column, span: str = "1 HOUR") -> DataFrame:
@@ -246,7 +247,5 @@ def dead_letter_context(results: DataFrame, letters: DataFrame, as_of: Column, s
 
 def stage_deltas(waterfall_rows: DataFrame) -> DataFrame:
     """Each stage's quality against the stage before it (a handful of rows: one a stage)."""
-    from pyspark.sql import Window
-
     before = F.lag("quality_pct").over(Window.orderBy("stage"))
     return waterfall_rows.select("stage", "quality_pct", F.round(F.col("quality_pct") - before, 3).alias("delta_pct"))

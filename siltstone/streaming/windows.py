@@ -23,13 +23,10 @@ def quality_branch(stream: DataFrame, rules: list[quality.Rule], stage: str, res
 
 
 def tumbling(stream: DataFrame, time: str, length: str, keys: list[str], aggregates: list[Column], watermark: str = "5 minutes") -> DataFrame:
-    """Aggregates by event-time window and keys; late rows beyond the watermark don't reopen a window."""
+    """Aggregates (aliased) by event-time window and keys; late rows beyond the watermark don't reopen a window."""
     rows = stream.withWatermark(time, watermark) if stream.isStreaming else stream
-    return rows.groupBy(F.window(time, length).alias("w"), *keys).agg(*aggregates).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *keys, *(c for c in _names(aggregates)))
-
-
-def _names(aggregates: list[Column]) -> list[str]:
-    return [a._jc.node().name().last() if hasattr(a._jc, "node") else str(a) for a in aggregates]
+    grouped = rows.groupBy(F.window(time, length).alias("w"), *keys).agg(*aggregates)
+    return grouped.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *(c for c in grouped.columns if c != "w"))
 
 
 def sessions(stream: DataFrame, time: str, gap: str, keys: list[str]) -> DataFrame:
@@ -43,8 +40,29 @@ def time_bounded_join(left: DataFrame, right: DataFrame, key: str, left_time: st
     """Rows of both sides with equal keys whose right time follows the left by at most ``within``; state is bounded by the watermarks."""
     a = left.withWatermark(left_time, within) if left.isStreaming else left
     b = right.withWatermark(right_time, within) if right.isStreaming else right
-    a, b = a.alias("a"), b.alias("b")
-    return a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col(f"b.{right_time}") >= F.col(f"a.{left_time}")) & (F.col(f"b.{right_time}") <= F.col(f"a.{left_time}") + F.expr(f"INTERVAL {within}")))
+    bound = (F.col(f"b.{right_time}") >= F.col(f"a.{left_time}")) & (F.col(f"b.{right_time}") <= F.col(f"a.{left_time}") + F.expr(f"INTERVAL {within}"))
+    equal = F.col(f"a.{key}") == F.col(f"b.{key}")
+    if a.isStreaming or b.isStreaming:
+        return a.alias("a").join(b.alias("b"), equal & bound)
+    # in batch, buckets as wide as the bound join the key, so a hot key's rows meet only those near in time
+    a = a.withColumn("_bucket", _bucket(a, left_time, within))
+    own = _bucket(b, right_time, within)
+    b = b.withColumn("_bucket", F.explode(F.array(own, own - 1)))
+    joined = a.alias("a").join(b.alias("b"), equal & (F.col("a._bucket") == F.col("b._bucket")) & bound)
+    return joined.drop(F.col("a._bucket"), F.col("b._bucket"))
+
+
+def _bucket(df: DataFrame, time: str, within: str) -> Column:
+    """The number of the stretch of length ``within`` that a time falls in, on one scale without clock changes."""
+    kind = "TIMESTAMP_NTZ" if dict(df.dtypes)[time] == "timestamp_ntz" else "TIMESTAMP"
+    zone = "" if kind == "TIMESTAMP_NTZ" else "Z"
+    zero = f"{kind}'1970-01-01 00:00:00{zone}'"
+
+    def micros(interval: str) -> Column:
+        # intervals of days and smaller parts have one length
+        return F.expr(f"CAST(extract(DAY FROM ({interval})) AS BIGINT) * 86400000000 + CAST(extract(HOUR FROM ({interval})) AS BIGINT) * 3600000000 + CAST(extract(MINUTE FROM ({interval})) AS BIGINT) * 60000000 + CAST(extract(SECOND FROM ({interval})) * 1000000 AS BIGINT)")
+
+    return F.floor(micros(f"`{time}` - {zero}") / micros(f"({zero} + INTERVAL {within}) - {zero}"))
 
 
 def observed(stream: DataFrame, name: str = "silver") -> DataFrame:
