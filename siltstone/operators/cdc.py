@@ -115,9 +115,9 @@ def topic_of(outbox: DataFrame, prefix: str = "outbox") -> DataFrame:
 
 
 def polled(table: DataFrame, last_seen: Column | None, column: str = "updated_at") -> tuple[DataFrame, DataFrame]:
-    """(rows after the stored high-water mark, the new mark as one row); the predicate reaches the scan."""
+    """(rows after the stored high-water mark in its order, the new mark as one row); the predicate reaches the scan."""
     rows = table if last_seen is None else table.where(F.col(column) > last_seen)
-    return rows, rows.agg(F.max(column).alias("high_water_mark"))
+    return rows.orderBy(F.col(column).asc_nulls_first()), rows.agg(F.max(column).alias("high_water_mark"))
 
 
 def from_change_log(log: DataFrame, after_id: int, image: T.StructType) -> DataFrame:

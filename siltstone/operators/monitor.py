@@ -105,16 +105,21 @@ def _since(as_of: Column, days: int) -> Column:
     return (F.col("partition_date") >= F.date_sub(F.to_date(as_of), days)) & (F.col("partition_date") <= F.to_date(as_of))
 
 
+def _by_deviation() -> Column:
+    """Largest deviations first, in either direction; a metric without a baseline counts as none."""
+    return F.abs(F.coalesce(F.col("z_score"), F.lit(0.0))).desc()
+
+
 def volume_anomalies(metrics: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
     rows = metrics.where((F.col("metric_name") == "row_count") & _since(as_of, days))
-    return rows.select("table_name", "partition_date", F.col("metric_value").cast("long").alias("row_count"), F.round("baseline_7d_avg").alias("baseline_avg_rows"), _two_digits("z_score").alias("z_score"), status(F.col("z_score")).alias("status"), _deviation().alias("deviation_pct"))
+    return rows.select("table_name", "partition_date", F.col("metric_value").cast("long").alias("row_count"), F.round("baseline_7d_avg").alias("baseline_avg_rows"), _two_digits("z_score").alias("z_score"), status(F.col("z_score")).alias("status"), _deviation().alias("deviation_pct")).orderBy(_by_deviation(), "table_name", F.desc("partition_date"))
 
 
 def volume_trend(metrics: DataFrame, as_of: Column, days: int = 30, tables: tuple[str, str, str] = ("bronze.orders", "silver.orders", "gold.order_daily_summary")) -> DataFrame:
     """Row counts of the three layers side by side, and what Silver rejects of Bronze."""
     rows = metrics.where((F.col("metric_name") == "row_count") & _since(as_of, days))
     wide = rows.groupBy("partition_date").agg(*(F.max(F.when(F.col("table_name") == t, F.col("metric_value"))).alias(f"{layer}_rows") for layer, t in zip(("bronze", "silver", "gold"), tables, strict=True)))
-    return wide.withColumn("silver_rejection_pct", ratio_pct(F.col("bronze_rows") - F.col("silver_rows"), F.col("bronze_rows"), 3))
+    return wide.withColumn("silver_rejection_pct", ratio_pct(F.col("bronze_rows") - F.col("silver_rows"), F.col("bronze_rows"), 3)).orderBy(F.desc("partition_date"))
 
 
 def divergence(trend: DataFrame) -> DataFrame:
@@ -125,15 +130,15 @@ def divergence(trend: DataFrame) -> DataFrame:
 def distribution_drift(metrics: DataFrame, as_of: Column, days: int = 14) -> DataFrame:
     stat, column = metric_parts(F.col("metric_name"))
     rows = metrics.where(F.col("metric_name").rlike("^(mean|stddev|p95)_") & _since(as_of, days))
-    return rows.select("partition_date", "table_name", column.alias("column_name"), stat.alias("stat_type"), _two_digits("metric_value").alias("value"), _two_digits("baseline_7d_avg").alias("baseline"), _two_digits("z_score").alias("z_score"), "anomaly_detected")
+    return rows.select("partition_date", "table_name", column.alias("column_name"), stat.alias("stat_type"), _two_digits("metric_value").alias("value"), _two_digits("baseline_7d_avg").alias("baseline"), _two_digits("z_score").alias("z_score"), "anomaly_detected").orderBy(F.desc("partition_date"), "table_name", "column_name", "stat_type")
 
 
 def null_rates(metrics: DataFrame, as_of: Column, days: int = 14) -> DataFrame:
     rows = metrics.where(F.col("metric_name").like(r"null\_rate\_%") & _since(as_of, days))
     band = F.when(F.col("metric_value") > 0.001, "✗ ABOVE 0.1% THRESHOLD").when(F.col("metric_value") > 0, "⚠ SOME NULLS").otherwise("✓ CLEAN")
-    return rows.select("partition_date", "table_name", F.replace("metric_name", F.lit("null_rate_"), F.lit("")).alias("column_name"), F.round(F.col("metric_value") * 100, 4).alias("null_rate_pct"), band.alias("status"))
+    return rows.select("partition_date", "table_name", F.replace("metric_name", F.lit("null_rate_"), F.lit("")).alias("column_name"), F.round(F.col("metric_value") * 100, 4).alias("null_rate_pct"), band.alias("status")).orderBy(F.desc("partition_date"), F.desc("null_rate_pct"), "column_name")
 
 
 def active_anomalies(metrics: DataFrame, as_of: Column, span: str = "24 HOURS") -> DataFrame:
     rows = metrics.where(F.col("anomaly_detected") & (F.col("collected_at") >= as_of - F.expr(f"INTERVAL {span}")) & (F.col("collected_at") <= as_of))
-    return rows.select("collected_at", "table_name", "metric_name", _two_digits("metric_value").alias("current_value"), _two_digits("baseline_7d_avg").alias("expected_value"), _two_digits("z_score").alias("z_score"), _deviation().alias("deviation_pct"))
+    return rows.select("collected_at", "table_name", "metric_name", _two_digits("metric_value").alias("current_value"), _two_digits("baseline_7d_avg").alias("expected_value"), _two_digits("z_score").alias("z_score"), _deviation().alias("deviation_pct")).orderBy(_by_deviation(), F.desc("collected_at"), "table_name", "metric_name")
