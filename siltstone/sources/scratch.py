@@ -9,8 +9,10 @@ from pyspark.sql import SparkSession
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder name under ``spark.checkpoint.dir``, or under a folder of our own where none is set (local tests)."""
+    """A new folder name under ``spark.checkpoint.dir``, or under a folder of our own where none is set and all run on one machine (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not base:
         base = tempfile.mkdtemp(prefix="siltstone-")
         spark.sparkContext.setCheckpointDir(base)
