@@ -4,7 +4,8 @@ A source's target is met by whole passes over the source and one rest.  The
 rest is fitted exactly where it can be: documents are counted by their exact
 length, every length first gives its proportional share, and a bounded-knapsack
 dynamic program over lengths and counts closes what remains.  The documents of
-a length are then chosen in a seeded order.
+a length are then chosen in a seeded order of doc_id and text, so that rows which
+share a doc_id are told apart and lie in different tasks.
 
 Defined cases: null text has no words; null is a source of its own, last in
 order; rows that repeat a doc_id count each; an empty table gives an empty
@@ -141,7 +142,7 @@ def planned(docs: DataFrame, seed: int = SEED) -> DataFrame:
     by_source = spark.createDataFrame(plan, "key string, source_size long, target double, passes int, rest long")
 
     salts = max(LEAST_SALTS, sum(r["n"] for r in per_source) // ROWS_PER_SALT)
-    order = F.xxhash64("doc_id", F.lit(seed))
+    order = F.xxhash64("doc_id", "row_key", F.lit(seed))
     keyed = sizes.withColumn("key", F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), "source"))).withColumn("order", order)
     keyed = keyed.withColumn("salt", F.pmod(F.shiftrightunsigned("order", 20), F.lit(salts)).cast("int"))
     # the program's input is a row a source and length, whatever the number of documents
@@ -150,7 +151,7 @@ def planned(docs: DataFrame, seed: int = SEED) -> DataFrame:
     by_salt = keyed.groupBy("key", "size", "salt").agg(F.count(F.lit(1)).alias("m"))
     ahead = by_salt.select("key", "size", "salt", (F.sum("m").over(Window.partitionBy("key", "size").orderBy("salt")) - F.col("m")).alias("ahead"))
     quota = written(ahead.join(chosen, ["key", "size"]).select("key", "size", "salt", (F.col("take") - F.col("ahead")).alias("quota")), "quotas")
-    rank = F.row_number().over(Window.partitionBy("key", "size", "salt").orderBy("order", "doc_id"))
+    rank = F.row_number().over(Window.partitionBy("key", "size", "salt").orderBy("order", "doc_id", "row_key"))
     picked = keyed.join(quota, ["key", "size", "salt"]).withColumn("picked", (rank <= F.col("quota")).cast("int"))
     return picked.join(F.broadcast(by_source.drop("rest")), "key").select("doc_id", "source", "row_key", "size", "source_size", "target", (F.col("passes") + F.col("picked")).alias("times"))
 

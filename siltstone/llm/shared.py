@@ -33,11 +33,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; one of our own only where none is set (tests)."""
+    """``spark.checkpoint.dir`` of the session; one of our own only where none is set and all run on one machine (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         context = spark.sparkContext
         folder = context.getCheckpointDir() if hasattr(context, "getCheckpointDir") else None
+        if not folder and not context.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not folder:
             folder = tempfile.mkdtemp(prefix="siltstone-")
             context.setCheckpointDir(folder)

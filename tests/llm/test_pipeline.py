@@ -54,3 +54,27 @@ def test_run(spark, sf_dir):
         assert r["start"] == at
         at += r["n_tokens"]
     assert rows and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_stages_on_odd_rows(spark, sf_dir, clashing, empty):
+    """Nulls, empty and very long texts, ties, repeated rows and columns whose names clash."""
+    rows = clashing.select("doc_id", "text").collect()
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, sf_dir).count() == 0, name
+        out = stage(spark, clashing, sf_dir)
+        got = collections.Counter((r["doc_id"], r["text"]) for r in out.collect()) if name != "token_output" else None
+        if name == "token_output":
+            assert collections.Counter(r["doc_id"] for r in out.collect()) == collections.Counter(r["doc_id"] for r in rows)
+            continue
+        assert out.columns == clashing.columns, name
+        if name == "language_id":
+            assert got == collections.Counter(map(tuple, (r for r in rows if any(c.isalpha() for c in r["text"] or ""))))
+        elif name == "near_dedup":
+            first = groups(clashing)
+            want = {(r["doc_id"], r["text"]) for r in rows if r["doc_id"] is not None and any(c == r["doc_id"] for _, c in first[r["doc_id"]])}
+            assert got == collections.Counter([*want, *((None, r["text"]) for r in rows if r["doc_id"] is None)])
+        elif name == "decontamination":
+            assert got == collections.Counter(map(tuple, rows))
+        else:
+            assert set(got) <= set(map(tuple, rows)) and all(n <= 3 * sum(tuple(r) == k for r in rows) for k, n in got.items())
+            assert got == collections.Counter((r["doc_id"], r["text"]) for r in mixing.mixed(clashing.repartition(3)).collect())
