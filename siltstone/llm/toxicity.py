@@ -9,8 +9,8 @@ short fixed list and is learned from labelled text: stems whose documents are
 toxic far more often than others (a likelihood ratio of at least ``LEAST_RATIO``
 in nats), greedily chosen so that each next stem adds toxic documents that the
 earlier ones miss.  A logistic regression on the stems' counts, normalised by
-the text's length, gives the weights, which are never negative; its
-probability is the score, shifted so that THRESHOLD separates the training
+the text's length (``strength``), gives the weights, which are never negative;
+its probability is the score, shifted so that THRESHOLD separates the training
 texts best.  Phrases (a match and a neighbour) that occur in clean documents
 alone become exceptions, as are a few fixed ones; a match inside an exception
 phrase doesn't count.
@@ -49,7 +49,8 @@ THRESHOLD = 0.7
 TRAIN_DOCS, TRAIN_CHARS = 6_000, 50_000
 STEM_FROM, STEM_TO = 4, 10
 LEAST_ODDS, LEAST_RATIO, MOST_STEMS = 1.5, 10.0, 400
-MOST_COUNT, STEPS, RIDGE = 8, 600, 2e-3
+STEPS, RIDGE = 600, 2e-3
+NORM_WORDS = 500.0
 CONTEXT = 2
 
 RESULT = "doc_id long, held_out boolean, score double, predicted int"
@@ -151,13 +152,17 @@ class Lexicon:
     def scores(self, column: pa.Array) -> list[float]:
         out = []
         for found, n_words in self.matches(column):
-            margin = self.bias + sum(self.stems[s] * min(c, MOST_COUNT) for s, c in found.items()) / length_norm(n_words)
+            margin = self.bias + sum(self.stems[s] * strength(c, n_words) for s, c in found.items())
             out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, margin)))))
         return out
 
 
-def length_norm(n_words: int) -> float:
-    return 1.0 + math.log1p(n_words / 500.0)
+def strength(count: int, n_words: int) -> float:
+    """A stem's matches in a text of ``n_words``: grows with each match and falls with the words per match.
+
+    Of texts with as many words per match the longer one is never the weaker, whatever its length.
+    """
+    return 2 * count / (1 + count) / (1.0 + math.log1p(n_words / (NORM_WORDS * count)))
 
 
 def whole_words(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
@@ -224,7 +229,7 @@ def learn(texts: list[str], toxic: list[int]) -> Lexicon:
     x = np.zeros((len(texts), len(stems)))
     for i, (found, n_words) in enumerate(lexicon.matches(column)):
         for s, c in found.items():
-            x[i, place[s]] = min(c, MOST_COUNT) / length_norm(n_words)
+            x[i, place[s]] = strength(c, n_words)
     weights, bias = _regression(x, flag.astype(float), np.array([SEED_WEIGHT if s in SEED_STEMS else 1.0 for s in stems]))
     return Lexicon(dict(zip(stems, weights.tolist(), strict=True)), lexicon.exceptions, bias)
 

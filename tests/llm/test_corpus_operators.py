@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -422,6 +423,38 @@ def test_toxicity_folds_and_excuses():
     assert [x >= 0.7 for x in high] == [True, True, True, True, False, True, False, False]
 
 
+def naive_score(lexicon, text):
+    """A text's score by looking at each word for each stem and each exception."""
+    folded, margin, found = [toxicity.fold(w) for w in words(text)], lexicon.bias, {}
+    for i, w in enumerate(folded):
+        stems = [s for s in lexicon.stems if w.startswith(s)]
+        phrases = [e.split(" ") for e in lexicon.exceptions]
+        excused = any(folded[k : k + len(p)] == p for p in phrases for k in range(max(0, i - len(p) + 1), i + 1))
+        if stems and not excused:
+            best = max(stems, key=lambda s: (lexicon.stems[s], s))
+            found[best] = found.get(best, 0) + 1
+    for s, c in found.items():
+        margin += lexicon.stems[s] * 2 * c / (1 + c) / (1 + np.log1p(len(folded) / (500 * c)))
+    return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
+
+
+def test_toxicity_equals_naive_search(spark, sf_dir):
+    big = sf_dir.replace("0.001", "0.01")
+    lexicon = toxicity.train(documents(spark, big), spark.read.parquet(f"{big}/labels.parquet"))
+    texts = [r["text"] for r in documents(spark, sf_dir).collect()]
+    rng = random.Random(5)
+    parts = [*lexicon.stems, *(w for e in lexicon.exceptions for w in e.split(" ")), "id1ot", "ab", "!!!", "\u0456diot"]
+    texts += [None, "", *(" ".join(rng.choice(parts) + rng.choice(["", "s", "."]) for _ in range(rng.randint(1, 12))) for _ in range(300))]
+    assert len(lexicon.stems) > 5 and lexicon.scores(pa.array(texts, pa.string())) == pytest.approx([naive_score(lexicon, t) for t in texts])
+
+
+def test_equal_density_never_scores_lower():
+    lexicon = toxicity.learn([], [])
+    passage = " ".join(["calm"] * 49 + ["idiot"])
+    scores = lexicon.scores(pa.array([" ".join([passage] * k) for k in (1, 2, 8, 9, 400, 4000)]))
+    assert scores == sorted(scores) and scores[0] >= toxicity.THRESHOLD
+
+
 def test_language(spark, sf_dir, clashing, empty):
     docs = documents(spark, sf_dir.replace("0.001", "0.01"))
     truth = {r["doc_id"]: r["lang"] for r in docs.collect()}
