@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -135,7 +133,3 @@ def assembled(orders: DataFrame, items: DataFrame) -> DataFrame:
     """order_placed rows from row-level changes of two tables: orders with their items as an array."""
     lines = items.groupBy("order_id").agg(F.sort_array(F.collect_list(F.struct("sku", "quantity", "unit_price_cents"))).alias("items"))
     return orders.join(lines, "order_id", "left")
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 from datetime import datetime
 
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import cents, latest_by, metric_parts, modes, ratio_pct, rounded
+from ..functions.scalars import cents, latest_by, metric_parts, modes, ratio_pct, rounded, stable_id
 from ..operators import cdc, drift, gold, lineage, monitor, quality, silver, slo
 from ..streaming import windows
 from . import order_events as oe
@@ -502,6 +501,35 @@ def change_log_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("lsn").alias("id"), "table_name", "operation", F.col("after.k").alias("k"))
 
 
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS key, CASE WHEN o_orderkey IS NULL THEN 'READ' ELSE 'UPDATE' END AS operation, coalesce(o_totalprice, c_acctbal) AS amount, 'crm' AS source_connector FROM customer LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS r FROM orders) ON o_custkey = c_custkey AND r = 1""")
+def cdc_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A snapshot of the customers as READ rows below every change, then their orders as changes; the last one stands."""
+    snapshot = oe.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cust"), F.col("c_acctbal").alias("amount"))
+    changes = oe.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("cust"), F.col("o_totalprice").alias("amount"), F.lit("UPDATE").alias("operation"), F.col("o_orderkey").cast("long").alias("lsn"))
+    rows = cdc.tagged(cdc.renamed(cdc.bootstrap(snapshot, changes).withColumn("cust", F.col("cust").cast("string")), {"cust": "key"}), "source_connector", "crm")
+    return cdc.latest_state(rows, ["key"], F.col("lsn")).select("key", "operation", "amount", "source_connector")
+
+
+@query("""SELECT 'good' AS kind, NULL AS failure_reason, NULL AS failure_stage, count(*) AS n FROM events WHERE event_id % 5 <> 0 UNION ALL SELECT 'dead', 'schema_mismatch', 'bronze_validation', count(*) FROM events WHERE event_id % 5 = 0""")
+def cdc_bad_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth record is broken off on purpose and must reach the dead letters."""
+    raw = oe.table(spark, sf_dir, "events").select(F.when(F.col("event_id") % 5 == 0, F.lit('{"k": ')).otherwise(F.col("props")).alias("value"))
+    good, dead = cdc.parsed(raw, T.StructType([T.StructField("k", T.LongType())]))
+    none = F.lit(None).cast("string")
+    kinds = good.select(F.lit("good").alias("kind"), none.alias("failure_reason"), none.alias("failure_stage")).unionByName(dead.select(F.lit("dead").alias("kind"), "failure_reason", "failure_stage"))
+    return kinds.groupBy("kind", "failure_reason", "failure_stage").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {_LSN} SELECT CASE WHEN l_returnflag = 'R' THEN 'R' ELSE 'kept' END AS flag, count(*) AS n FROM ch WHERE lsn % 4 <> 1 AND lsn % 3 <> 2 GROUP BY 1""")
+def cdc_without_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heartbeats and tombstones, made on purpose of some changes, don't reach Silver."""
+    lsn = F.col("source.lsn")
+    rows = _stock_changes(spark, sf_dir).withColumn("topic", F.when(lsn % 4 == 1, "__heartbeat.stock").otherwise("stock"))
+    rows = rows.withColumn("before", F.when(lsn % 3 != 2, F.coalesce("before", "after"))).withColumn("after", F.when(lsn % 3 != 2, F.col("after")))
+    flag = F.when(F.col("operation") == "DELETE", "R").otherwise("kept")
+    return cdc.without_tombstones(cdc.without_heartbeats(rows)).groupBy(flag.alias("flag")).agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- service levels ----------------------------------------------------------
 
 
@@ -538,6 +566,24 @@ def slo_dead_letter_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slo.dead_letter_rate(oe.dead_letters(spark, sf_dir), oe.now())
 
 
+@query("""SELECT count(*) AS samples, round(count(*) FILTER (WHERE value <= 30) * 100.0 / count(*), 4) AS availability_pct FROM events""")
+def slo_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of lag samples (the events' values as seconds) within the limit."""
+    return slo.availability(oe.table(spark, sf_dir, "events").select(F.col("ts").alias("at"), F.col("value").alias("lag_seconds")))
+
+
+@query("""WITH d AS (SELECT CAST(event_type AS VARCHAR) AS stage, round(count(*) FILTER (WHERE value > 20) * 100.0 / count(*), 3) AS quality_pct FROM events GROUP BY 1) SELECT stage, quality_pct, round(quality_pct - lag(quality_pct) OVER (ORDER BY stage), 3) AS delta_pct FROM d""")
+def quality_stage_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stage's quality against the stage before it; event types are the stages here."""
+    rows = oe.table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("stage")).agg(ratio_pct(F.count_if(F.col("value") > 20), F.count(F.lit(1)), 3).alias("quality_pct"))
+    return quality.stage_deltas(rows)
+
+
+@query("""SELECT event_id, sha256(CAST(event_id AS VARCHAR) || '|' || event_type || '|') AS stable FROM events""")
+def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return oe.table(spark, sf_dir, "events").select("event_id", stable_id(F.col("event_id"), F.col("event_type"), F.lit(None)).alias("stable"))
+
+
 # --- scalar and window functions ---------------------------------------------
 
 
@@ -598,7 +644,3 @@ def time_bounded_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queries()["q01_gold_daily_summary"](spark, sf_dir)
-
-
-def lineage_literals() -> str:
-    return json.dumps({"bronze_to_silver": lineage.BRONZE_TO_SILVER, "silver_to_gold": lineage.SILVER_TO_GOLD})
