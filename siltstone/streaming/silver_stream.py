@@ -8,7 +8,9 @@ key.  A key is forgotten ``ttl`` after it was marked, in event time (for replays
 at full speed) and by the state store's own processing-time expiry.
 
 Each micro-batch commits Bronze, Silver and dead letters under one transaction
-name and the batch's number, so a repeated batch changes nothing.
+name and the batch's number, so a repeated batch changes nothing.  The query's
+progress carries the batch's counts (processed, dlq_routed, dedup_dropped) under
+the query's name.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from ..operators import silver
 from ..sources.snapshots import SnapshotTable
+from .windows import observed
 
 WATERMARK_MINUTES, TTL_HOURS, TRIGGER_SECONDS = 5, 24, 60
 
@@ -88,7 +91,8 @@ def start(events: DataFrame, bronze: SnapshotTable, silver_table: SnapshotTable,
         finally:
             rows.unpersist()
 
-    writer = classified(events, watermark_minutes=watermark_minutes, ttl_hours=ttl_hours).writeStream.queryName(name).outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(commit)
+    verdicts = observed(classified(events, watermark_minutes=watermark_minutes, ttl_hours=ttl_hours), name)
+    writer = verdicts.writeStream.queryName(name).outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(commit)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=f"{TRIGGER_SECONDS} seconds")).start()
 
 

@@ -1,7 +1,7 @@
 """Operators on hand-written rows: branches, boundaries, nulls."""
 
 import json
-from datetime import datetime, timedelta
+from datetime import UTC, datetime, timedelta
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -376,3 +376,16 @@ def test_lineage_reaches_through_any_number_of_jobs(spark, monkeypatch):
     monkeypatch.setattr(lineage, "edges", lambda events: pairs)
     got = {r["column"]: r["hops"] for r in lineage.reachable(pairs, "c0").collect()}
     assert got == {**{f"c{k}": k for k in range(1, 15)}, "c0": 15}
+
+
+def test_retention_and_orphans(spark, tmp_path):
+    table = SnapshotTable(spark, str(tmp_path / "t"))
+    old, new = datetime(2020, 1, 1, tzinfo=UTC), datetime.now(UTC) + timedelta(days=30)
+    table.commit(spark.range(3).toDF("id"), committed_at=old)
+    table.commit(spark.range(5).toDF("id"), mode="replace", committed_at=new - timedelta(days=200))
+    table.commit(spark.range(2).toDF("id"), committed_at=new - timedelta(days=1))
+    spark.range(9).write.parquet(f"{table.path}/data/left_behind")
+    assert table.remove_orphans(datetime.now(UTC) - timedelta(hours=1)) == []  # it may belong to a commit under way
+    assert table.maintain("silver", new) == ([0], ["data/left_behind"])
+    assert table.maintain("silver", new) == ([], [])
+    assert table.read().count() == 7 and table.maintain("bronze", new)[0] == [1] and table.read().count() == 7

@@ -56,6 +56,21 @@ def test_stream(spark, tmp_path, topic):
     assert [t.read().count() for t in tables] == [9, 5, 4]
 
 
+def test_counts_and_reprocessing(spark, tmp_path, topic):
+    path, add = topic
+    for k in range(3):
+        add(k)
+    tables = [SnapshotTable(spark, str(tmp_path / n)) for n in ("bronze", "silver", "dlq")]
+    query = silver_stream.start(silver_stream.files(spark, str(path), per_trigger=10), *tables, checkpoint=str(tmp_path / "ck"), name="counted", available_now=True)
+    query.awaitTermination()
+    counts = [p["observedMetrics"]["counted"] for p in query.recentProgress if p["observedMetrics"]]
+    assert sum(c["processed"] for c in counts) == 9 and sum(c["dlq_routed"] for c in counts) == tables[2].read().count()
+    assert sum(c["dedup_dropped"] for c in counts) == tables[2].read().where("failure_reason = 'duplicate_event_id'").count() > 0
+    again = [SnapshotTable(spark, str(tmp_path / f"{n}_v2")) for n in ("silver", "dlq", "bronze")]
+    assert silver_stream.reprocess(silver_stream.files(spark, str(path), per_trigger=10), *again, checkpoint=str(tmp_path / "ck2"), validate=lambda df: df.count() == tables[1].read().count(), name="v2")
+    assert sorted(r["event_id"] for r in again[0].read().collect()) == sorted(r["event_id"] for r in tables[1].read().collect())
+
+
 def test_quality_branch_and_repeated_batch(spark, tmp_path, topic):
     path, add = topic
     add(0)
